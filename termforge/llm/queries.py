@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import contamination, distinctive, format_duplicates, packing, repetition, term_counts
+from termforge.llm import contamination, distinctive, encoding_repair, format_duplicates, packing, repetition, term_counts
 from termforge.operators import reference_tables as ref
 from termforge.session import table
 
@@ -44,6 +44,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.collapse(table(spark, d, "collection_rows"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.garbled(table(spark, d, "collection_rows")).select("row_id")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.garbled(table(spark, d, "collection_rows")).select("row_id", "kind", "restored")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -81,6 +89,8 @@ QUERIES = {
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p8_found": p8_found,
     "p8_assignment": p8_assignment,
     "p8_fill": p8_fill,
