@@ -45,7 +45,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return encoding_repair.garbled(table(spark, d, "collection_rows")).select("row_id")
+    return encoding_repair.damaged_rows(table(spark, d, "collection_rows")).select("row_id")
 
 
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
