@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 # The line format.
 QUOTED = r'"(?:[^"]++|"")*+"'
 FIELD = rf'(?:{QUOTED}(?=\t|\z)|(?!")[^\t]*+)'
-TWO_FIELDS = rf"(?s)\A({FIELD})\t({FIELD})\z"
+DOCID = r'("?) *0*([0-9]{1,10}) *\1'
+STRICT = rf"(?s)\A{DOCID}\t(?=[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])({FIELD})\z"
 WELL_QUOTED = rf"(?s)\A{FIELD}(?:\t{FIELD})*+\z"
 QUOTED_AT_START = rf"(?s)(\A|\t){QUOTED}"
+ID_FIRST = rf"\A{DOCID}\t"
 BLANK = r"(?s)\A[\s\x1c-\x1f\x85\p{Z}]*+\z"
 BAD_TEXT = r"[\x{FFFD}\x00-\x08\x0A-\x1F\x7F-\x9F]"
 MAX_DOCID = 4294967295
 
 
 def _content(line: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "")
+    c = F.coalesce(F.col(line), F.lit(""))
+    return F.when(c.endswith("\r"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
 def _unquote(field: Column) -> Column:
@@ -31,30 +34,26 @@ def _unquote(field: Column) -> Column:
     return F.when(field.startswith('"'), inner).otherwise(field)
 
 
-def _docid(field: Column) -> Column:
-    digits = F.regexp_replace(F.btrim(field, F.lit(" ")), r"\A0+(?=[0-9])", "")
-    value = F.when(digits.rlike(r"\A[0-9]{1,10}\z"), digits.cast("bigint"))
-    return F.when(value <= MAX_DOCID, value)
-
-
-def _text_ok(field: Column) -> Column:
-    return field.rlike(r"[\p{L}\p{N}]") & ~field.rlike(BAD_TEXT)
+def _docid(line: Column, pattern: str) -> Column:
+    """The id of a line that matches the pattern; the digits in it fit a bigint."""
+    return F.regexp_extract(line, pattern, 2).cast("bigint")
 
 
 def load_lines(raw: DataFrame, line: str = "line") -> DataFrame:
-    """The columns of raw for every line that loads, with _docid and _text added."""
-    parsed = (
-        raw.withColumn("_line", _content(line))
-        .where(F.col("_line").rlike(TWO_FIELDS))
-        .withColumn("_docid", _docid(_unquote(F.regexp_extract("_line", TWO_FIELDS, 1))))
-        .withColumn("_text", _unquote(F.regexp_extract("_line", TWO_FIELDS, 2)))
-    )
-    return parsed.where(F.col("_docid").isNotNull() & _text_ok(F.col("_text"))).drop("_line")
+    """The columns of raw for every line that loads, with _line, its content, added.
+
+    One pattern admits exactly two well-formed fields, the first an id in ASCII digits and the
+    second with a letter or digit; the id's range and bad characters are checked apart.
+    """
+    rows = raw.withColumn("_line", _content(line))
+    ok = F.col("_line").rlike(STRICT) & ~F.col("_line").rlike(BAD_TEXT)
+    return rows.where(F.when(ok, _docid(F.col("_line"), STRICT) <= MAX_DOCID).otherwise(F.lit(False)))
 
 
 def loaded_rows(raw: DataFrame, offset: str = "line_id", line: str = "line") -> DataFrame:
     """(offset, docid, text) of every line that loads."""
-    return load_lines(raw.select(offset, line), line).select(offset, F.col("_docid").alias("docid"), F.col("_text").alias("text"))
+    text = _unquote(F.regexp_extract("_line", STRICT, 3))
+    return load_lines(raw.select(offset, line), line).select(offset, _docid(F.col("_line"), STRICT).alias("docid"), text.alias("text"))
 
 
 def rejected_lines(raw: DataFrame, offset: str = "line_id", line: str = "line") -> DataFrame:
@@ -74,7 +73,7 @@ def rejected_lines(raw: DataFrame, offset: str = "line_id", line: str = "line")
         F.when(s.rlike(BLANK), "blank")
         .when(~s.rlike(WELL_QUOTED), "quoting")
         .when(fields != 2, "columns")
-        .when(_docid(_unquote(F.regexp_extract(s, TWO_FIELDS, 1))).isNull(), "docid")
+        .when(~F.coalesce(F.when(s.rlike(ID_FIRST), _docid(s, ID_FIRST) <= MAX_DOCID), F.lit(False)), "docid")
         .otherwise("text")
     )
     return left.withColumn("_line", _content("_raw")).select(F.col("_offset").alias(offset), F.col("_raw").alias(line), reason.alias("reason"))
