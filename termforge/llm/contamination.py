@@ -23,7 +23,7 @@ from termforge.llm.batches import slices, words
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,8 +159,8 @@ def leaked_items(
     of the documents. All texts are read whole.
     """
     spark = docs.sparkSession
-    corpus = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    corpus = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    wanted = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     chars = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(chars) // (2 * block_words)
     out = None
@@ -169,6 +169,7 @@ def leaked_items(
         block = ItemBlock([(r[0], r[1]) for r in rows], window, shingle)
         counted = corpus.mapInPandas(_frequencies(spark.sparkContext.broadcast(block)), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
         block.choose_prefixes({int(np.int64(r[0]).view(np.uint64)): r[1] for r in counted.collect()})  # at most one row per item shingle
-        found = corpus.mapInPandas(_matches(spark.sparkContext.broadcast(block)), "item_id bigint, doc_id bigint")
+        found = corpus.mapInPandas(_matches(spark.sparkContext.broadcast(block)), "item_id string, doc_id string")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    kinds = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]
+    return out.distinct().select(F.col("item_id").cast(kinds[0]).alias("item_id"), F.col("doc_id").cast(kinds[1]).alias("doc_id"))

@@ -29,7 +29,7 @@ ASSIGNMENT = T.StructType(
         T.StructField("container_id", T.LongType()),
         T.StructField("shard", T.LongType()),
         T.StructField("seq_no", T.IntegerType()),
-        T.StructField("doc_id", T.LongType()),
+        T.StructField("doc_id", T.StringType()),
         T.StructField("part_no", T.IntegerType()),
         T.StructField("n_parts", T.IntegerType()),
         T.StructField("n_tokens", T.IntegerType()),
@@ -39,9 +39,9 @@ ASSIGNMENT = T.StructType(
 
 
 def document_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """(doc_id, tokens): the given token count, counted from the text where it is null."""
+    """(doc_id, tokens): the id as a string, and the given token count, counted from the text where it is null."""
     given = F.col(n_tokens).cast("int")
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(given, public_token_count(F.col(text)).cast("int")).alias("tokens"))
+    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(given, public_token_count(F.col(text)).cast("int")).alias("tokens"))
 
 
 def pieces(sizes: DataFrame, containers: Sequence[tuple[int, int]]) -> DataFrame:
@@ -114,13 +114,15 @@ def pack_documents(
     kinds = containers.select("container_id", "capacity").where(F.col("container_id").isNotNull() & (F.col("capacity") > 0)).distinct().limit(MOST_CONTAINERS + 1).collect()
     if len(kinds) > MOST_CONTAINERS:
         raise ValueError(f"more than {MOST_CONTAINERS} containers")
+    id_kind = dict(docs.dtypes)[doc_id]
     if not kinds:
-        return docs.sparkSession.createDataFrame([], ASSIGNMENT)
+        return docs.sparkSession.createDataFrame([], ASSIGNMENT).withColumn("doc_id", F.col("doc_id").cast(id_kind))
     sizes = document_sizes(docs, doc_id, text, n_tokens)
     rows = pieces(sizes, [(r[0], r[1]) for r in kinds])
     shards = max(1, math.ceil(rows.count() / len(kinds) / shard_pieces))
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part_no", "tokens"), F.lit(shards)))
-    return sharded.groupBy("container_id", "shard").applyInPandas(_pack(linear, quadratic), ASSIGNMENT)
+    packed = sharded.groupBy("container_id", "shard").applyInPandas(_pack(linear, quadratic), ASSIGNMENT)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
 def fill_report(assignment: DataFrame) -> DataFrame:

@@ -94,6 +94,15 @@ def test_measure(spark):
     assert R.repetition(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_large_ids_beside_nulls(spark):
+    big = 2**62 + 1
+    text = "a b c d e f g h i j k "
+    df = spark.createDataFrame([(big, text * 2), (None, text)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in R.repetition(df).collect()} == {big, None}
+    items = spark.createDataFrame([("x7", text)], "item_id string, text string")
+    assert {tuple(r) for r in C.leaked_items(df, items).collect()} == {("x7", big), ("x7", None)}
+
+
 def test_slices_cover_every_row():
     import pandas as pd
 

@@ -73,7 +73,7 @@ def test_null_and_repeated_ids(spark):
 def test_token_count_is_pythons(spark):
     texts = ["a_b c-d  e", "x² ½ ǆ", "日本語、テスト", "é combining", "\x1cx\x85y z", "...!? a", "½½", "ａ＿ｂ", "" , "  "]
     rows = [(i, t, None, "", "") for i, t in enumerate(texts)]
-    got = {r["doc_id"]: r["tokens"] for r in P.document_sizes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {int(r["doc_id"]): r["tokens"] for r in P.document_sizes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: len(re.findall(r"\w+|[^\w\s]+", t)) for i, t in enumerate(texts)}
 
 
