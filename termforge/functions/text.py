@@ -31,6 +31,31 @@ def unescape(text: Column | str) -> Column:
     return _unescape(col(text))
 
 
+try:  # optional text repair of the tokenizer's pipeline; without it texts are only entity-decoded
+    import ftfy
+
+    HAVE_REPAIR = True
+except ImportError:
+    HAVE_REPAIR = False
+
+
+@F.pandas_udf(T.StringType())
+def repair_text(s: pd.Series) -> pd.Series:
+    """Text repaired by the optional library where it is installed, else unchanged (HAVE_REPAIR tells)."""
+    return s.map(ftfy.fix_text, na_action="ignore") if HAVE_REPAIR else s
+
+
+@F.pandas_udf(T.StringType())
+def body_text(s: pd.Series) -> pd.Series:
+    """Bytes of a page as UTF-8 text, malformed bytes as U+FFFD."""
+    return s.map(lambda b: bytes(b).decode("utf-8", errors="replace"), na_action="ignore")
+
+
+def utc_text(ts: Column | str) -> Column:
+    """Timestamp as YYYY-MM-DDThh:mm:ssZ; the session's time zone must be UTC."""
+    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def index_tokens(text: Column | str) -> Column:
     """Tokens of the index: lower-cased ASCII words, inner dots and hyphens kept. Null for null."""
     return F.regexp_extract_all(F.lower(col(text)), F.lit(INDEX_TOKEN), F.lit(0))

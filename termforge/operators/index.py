@@ -9,19 +9,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.functions.codec import varbyte_size
-from termforge.functions.text import index_tokens, unescape
+from termforge.functions.text import HAVE_REPAIR, index_tokens, repair_text, unescape
 
 BLOCK = 128
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repair: bool = False) -> DataFrame:
     """(doc_id, text) with HTML entities decoded; texts without an ampersand stay in the JVM.
 
+    repair also applies the optional repair library to texts with other than ASCII characters, if
+    it is installed.
+
     Rows with a null id or text are left out.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     coded = F.col("text").contains("&")
-    return rows.where(~coded).unionByName(rows.where(coded).withColumn("text", unescape("text")))
+    decoded = rows.where(~coded).unionByName(rows.where(coded).withColumn("text", unescape("text")))
+    if not (repair and HAVE_REPAIR):
+        return decoded
+    other = F.col("text").rlike(r"[^\x00-\x7F]")
+    return decoded.where(~other).unionByName(decoded.where(other).withColumn("text", repair_text("text")))
 
 
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -84,3 +84,14 @@ def list_file(spark: SparkSession, path: str) -> DataFrame:
     """(value): trimmed non-blank lines, for query and seed lists."""
     v = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     return text_lines(spark, path).select(v.alias("value")).where(F.col("value") != "")
+
+
+def write_subset(lines: DataFrame, path: str, n: int, order: str = "line_no", value: str = "value") -> None:
+    """Write the first n non-blank lines as text, in order, into one file."""
+    first_non_blank(lines, n, order, value).select(value).coalesce(1).write.mode("overwrite").text(path)
+
+
+def inspect(df: DataFrame, n: int = 10) -> str:
+    """Schema, number of rows and first rows of a table, as text."""
+    rows = "\n".join(str(tuple(r)) for r in df.limit(n).collect())
+    return f"{df.schema.simpleString()}\n{df.count()} rows\n{rows}"
