@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +70,31 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for operators with Python parts.
+
+    The archive lies in the shared folder; clusters whose executors have the package anyway lose nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_termforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    path = f"{shared_dir(spark)}/termforge/code-{uuid.uuid4().hex}.zip"
+    _written.append((spark, path))
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path)
+    sc._termforge_shipped = True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
