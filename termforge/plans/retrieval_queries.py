@@ -14,10 +14,13 @@ from termforge.operators import reference_tables as ref
 from termforge.operators import retrieval as rt
 from termforge.operators import verify
 from termforge.service import response_rows
-from termforge.session import table
+from termforge.session import scratch_path, table
 from termforge.sources import corpus
 
-SCORE = F.round("score", 6).alias("score")
+
+def _score():
+    return F.round("score", 6).alias("score")
+
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +31,15 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return ix.postings(_tokens(spark, d))
 
 
+_open: dict[tuple[str, str], ix.Index] = {}
+
+
 def _index(spark: SparkSession, d: str) -> ix.Index:
-    return ix.of_run(table(spark, d, "run"))
+    """The index of the run table, built and written once per application and folder, then opened."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _open:
+        _open[key] = ix.write_index(ix.of_run(table(spark, d, "run")), scratch_path(spark, "index"))
+    return _open[key]
 
 
 def tokenize_docs(spark, d):
@@ -103,28 +113,28 @@ def bm25_idf_all(spark, d):
 
 
 def bm25_and_topk(spark, d):
-    return rt.search_topk(_index(spark, d), "the of", 10).select("doc_id", SCORE)
+    return rt.search_topk(_index(spark, d), "the of", 10).select("doc_id", _score())
 
 
 def bm25_or_topk(spark, d):
-    return rt.ranked(_index(spark, d), "bright quiet harbor", "OR", topk=10).select("doc_id", SCORE)
+    return rt.ranked(_index(spark, d), "bright quiet harbor", "OR", topk=10).select("doc_id", _score())
 
 
 def bm25_repeated_terms(spark, d):
-    return rt.ranked(_index(spark, d), "bright bright quiet", "OR").select("doc_id", SCORE)
+    return rt.ranked(_index(spark, d), "bright bright quiet", "OR").select("doc_id", _score())
 
 
 def bm25_custom_k1_b(spark, d):
-    return rt.ranked(_index(spark, d), "the of", "AND", k1=0.9, b=0.4).select("doc_id", SCORE)
+    return rt.ranked(_index(spark, d), "the of", "AND", k1=0.9, b=0.4).select("doc_id", _score())
 
 
 def bm25_all_matches(spark, d):
-    return rt.search(_index(spark, d), "the of", "AND").select("doc_id", SCORE)
+    return rt.search(_index(spark, d), "the of", "AND").select("doc_id", _score())
 
 
 def bm25_batch_topk(spark, d):
     found = rt.batch(_index(spark, d), table(spark, d, "search_queries"), topk=F.col("topk"))
-    return found.select("qid", "doc_id", SCORE, F.col("rank").cast("bigint").alias("rank"))
+    return found.select("qid", "doc_id", _score(), F.col("rank").cast("bigint").alias("rank"))
 
 
 def block_directory(spark, d):
