@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions.scoring import page_score, super_score, total_priority
 from termforge.functions.urls import url_domain, url_superdomain
+from termforge.operators.ranges import numbered
 
 LOG_COLUMNS = ("ts_iso", "url", "status", "depth", "bytes", "domain", "superdomain", "domain_count_before", "super_count_before",
                "page_score", "super_score", "total_priority", "priority_at_pop")
@@ -15,24 +16,13 @@ LOG_COLUMNS = ("ts_iso", "url", "status", "depth", "bytes", "domain", "superdoma
 def running_counts(fetches: DataFrame, order: str = "log_id", crawl: str = "crawl_id") -> DataFrame:
     """Fetches (order, crawl, url, depth, ...) with domain and counts of earlier fetches of the same domain and superdomain.
 
-    Counts restart in each crawl. Domains come from the URLs. A superdomain can hold most of a crawl, so
-    its running count isn't one window over it: rows are laid out in ranges of (crawl, superdomain,
-    order), counted per range, and numbered inside their range after the ranges before.
+    Counts restart in each crawl. Domains come from the URLs. A domain can hold most of a crawl, so
+    rows are numbered by ranges.
     """
     rows = fetches.withColumn("domain", url_domain(F.col("url"))).withColumn("superdomain", url_superdomain(F.col("url")))
-    return _before(_before(rows, crawl, "domain", order, "domain_count_before"), crawl, "superdomain", order, "super_count_before")
-
-
-def _before(rows: DataFrame, crawl: str, key: str, order: str, name: str) -> DataFrame:
-    from termforge.session import materialize
-
-    laid = materialize(rows.repartitionByRange(crawl, key, order).withColumn("_range", F.spark_partition_id()), "count-ranges")
-    per_key = Window.partitionBy(crawl, key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = laid.groupBy(crawl, key, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(per_key), F.lit(0))).drop("count")
-    s = starts.select(F.col(crawl).alias("_c"), F.col(key).alias("_k"), F.col("_range").alias("_r"), "_start")
-    joined = laid.join(s, laid[crawl].eqNullSafe(s["_c"]) & laid[key].eqNullSafe(s["_k"]) & (laid["_range"] == s["_r"]))
-    inside = F.row_number().over(Window.partitionBy(crawl, key, "_range").orderBy(order)) - 1
-    return joined.withColumn(name, (F.col("_start") + inside).cast("bigint")).drop("_range", "_r", "_c", "_k", "_start")
+    for key, name in (("domain", "domain_count_before"), ("superdomain", "super_count_before")):
+        rows = numbered(rows, [crawl, key], order).withColumn(name, F.col("_no").cast("bigint")).drop("_no", "_prev")
+    return rows
 
 
 def with_priority(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions.codec import varbyte_size
 from termforge.functions.text import HAVE_REPAIR, index_tokens, repair_text, unescape
+from termforge.operators.ranges import numbered
 
 BLOCK = 128
 
@@ -71,14 +72,13 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def blocked(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """Postings with block_no and gap (distance to the term's previous docid, 0 before the first).
+    """Postings with block_no and gap (distance to the term's previous docid, to 0 for the first).
 
-    One window over the postings of a term in docid order; gaps run on across blocks.
+    Gaps run on across blocks. Postings are numbered by ranges, so a frequent term isn't one task's.
     """
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return p.withColumn("block_no", F.floor((F.row_number().over(order) - 1) / block_size).cast("int")).withColumn(
-        "gap", F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)
-    )
+    rows = numbered(p, ["term"], "doc_id")
+    block = F.floor(F.col("_no") / block_size).cast("int")
+    return rows.withColumn("block_no", block).withColumn("gap", F.col("doc_id") - F.coalesce("_prev", F.lit(0))).drop("_no", "_prev")
 
 
 def block_directory(p: DataFrame, block_size: int = BLOCK) -> DataFrame:

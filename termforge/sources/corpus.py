@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termforge.session import materialize
+from termforge.operators.ranges import numbered
 
 POLICIES = ("explicit", "ordinal", "ordinal_skip_blank")
 
@@ -46,18 +46,7 @@ def parse_ordinal(lines: DataFrame, start: int = 0, skip_blank: bool = False, va
     rows = lines.where(F.col(value).isNotNull() & ~blank).select(F.col(line_no).alias("_n"), F.element_at(F.split(F.col(value), "\t"), -1).alias("text"))
     if not skip_blank:
         return rows.select((F.col("_n") + start).alias("doc_id"), "text")
-    return _dense(rows, "_n").select((F.col("_dense") + start).alias("doc_id"), "text")
-
-
-def _dense(rows: DataFrame, order: str) -> DataFrame:
-    """Adds _dense, the dense rank from 0 of a unique column, without putting all rows into one task."""
-    from pyspark.sql import Window
-
-    laid = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "dense-ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = laid.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return laid.join(F.broadcast(starts), "_range").withColumn("_dense", F.col("_start") + inside - 1).drop("_range", "_start")
+    return numbered(rows, [], "_n").select((F.col("_no") + start).alias("doc_id"), "text")
 
 
 def read_collection(spark: SparkSession, path: str, policy: str = "explicit", start: int = 0) -> DataFrame:
