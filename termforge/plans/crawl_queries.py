@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.crawl import frontier, links, report, robots
@@ -36,11 +36,17 @@ def url_binary_or_cgi(spark, d):
     return _log(spark, d).select("log_id", urls.looks_binary(F.col("url")).alias("is_binary"), urls.is_cgi(F.col("url")).alias("is_cgi"))
 
 
+def _escaped(url: Column) -> Column:
+    """A URL as the value of an attribute."""
+    for ch, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        url = F.replace(url, F.lit(ch), F.lit(entity))
+    return url
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each logged URL, linking to itself, to its host's root and out of the web."""
-    u = F.col("url")
-    html = F.concat(F.lit('<html><a href="'), u, F.lit('">a</a> <a href="/">root</a> <a href="mailto:x@y.test">m</a> <a href="#top">t</a></html>'))
-    return _log(spark, d).where(~u.rlike('["<>&]')).select("log_id", "url", "depth", html.alias("html"))
+    html = F.concat(F.lit('<html><a href="'), _escaped(F.col("url")), F.lit('">a</a> <a href="/">root</a> <a href="mailto:x@y.test">m</a> <a href="#top">t</a></html>'))
+    return _log(spark, d).select("log_id", "url", "depth", html.alias("html"))
 
 
 def extract_links(spark, d):
