@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.crawl import frontier, links, report, robots
 from termforge.functions import urls
-from termforge.session import table
+from termforge.session import materialize, table
+
+# Fixed values of the simulated crawl: URLs of a block, one page in HUBS that links to all of its block, and limits by
+# which the frontier of a log of some thousand URLs outgrows a round, is trimmed and then drained down to linked pages.
+BLOCK, HUBS = 250, 50
+MAX_PAGES, ROUND = 6_000, 1_000
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -88,20 +93,43 @@ def frontier_antijoin(spark, d):
     return frontier.unseen(fresh, seen.distinct())
 
 
+def _rules(rows: DataFrame) -> DataFrame:
+    """Robots files (host, robots) that forbid one path prefix on hosts of one superdomain."""
+    hosts = rows.select(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1).alias("host")).distinct()
+    return hosts.where(F.lower("host").endswith(".test")).withColumn("robots", F.lit("User-agent: *\nDisallow: /d"))
+
+
 def robots_allowed(spark, d):
-    """Every logged URL under rules that forbid one path prefix on hosts of one superdomain."""
+    """Every logged URL under these rules."""
     rows = _log(spark, d).select("url").distinct()
-    hosts = rows.select(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1).alias("host")).distinct()
-    rules = hosts.where(F.lower("host").endswith(".test")).withColumn("robots", F.lit("User-agent: *\nDisallow: /d"))
-    return robots.robots_filter(rows, rules, "*")
+    return robots.robots_filter(rows, _rules(rows), "*")
+
+
+def _linked_web(pages: DataFrame) -> DataFrame:
+    """Stored pages (url, status, html) that link across the log, of pages (url, html).
+
+    URLs lie by hash in blocks of about BLOCK. A page links on to the next three of its block, one in HUBS to all of
+    it. A page is stored under its URL without a fragment, as a seed is, and under the canonical one, as a link is.
+    """
+    blocks = max(1, pages.count() // BLOCK)
+    rows = materialize(pages.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks))).withColumn("hub", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(HUBS)) == 0), "blocks")
+    anchor = F.concat(F.lit('<a href="'), _escaped(F.col("url")), F.lit('">n</a>'))
+    w = Window.partitionBy("block").orderBy("url")  # a block has about BLOCK rows
+    near = rows.withColumn("near", F.concat(*[F.coalesce(F.lead(anchor, k).over(w), F.lit("")) for k in (1, 2, 3)]))
+    every = rows.groupBy("block").agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("every"))
+    linked = near.where("NOT hub").select("url", "html", "near").unionByName(near.where("hub").join(every, "block").select("url", "html", F.col("every").alias("near")))
+    stored = linked.select("url", F.concat("html", "near").alias("html"))
+    as_link = stored.withColumn("url", urls.canonicalize("url"))
+    both = stored.withColumn("url", F.trim(urls.defragment(F.col("url")))).unionByName(as_link).where("url IS NOT NULL AND url <> ''")
+    return both.groupBy("url").agg(F.min("html").alias("html")).withColumn("status", F.lit("200"))
 
 
 def simulated_crawl(spark, d):
-    """A crawl from the log's depth 0 URLs over pages linking back to themselves and their roots."""
-    web = _pages(spark, d).groupBy("url").agg(F.min("html").alias("html")).withColumn("status", F.lit("200"))
-    seeds = _log(spark, d).where("depth = 0").select("url").distinct().orderBy("url").limit(40)
-    rules = spark.createDataFrame([], "host string, robots string")
-    out = frontier.crawl(spark, seeds, web, rules, limits=frontier.Limits(max_pages=60))
+    """A crawl from all of the log's depth 0 URLs over pages linking to themselves, their roots and other logged URLs,
+    under rules that forbid one path prefix on hosts of one superdomain."""
+    web = materialize(_linked_web(_pages(spark, d).groupBy("url").agg(F.min("html").alias("html"))), "web")
+    seeds = _log(spark, d).where("depth = 0").select("url").distinct()
+    out = frontier.crawl(spark, seeds, web, _rules(_log(spark, d).select("url")), limits=frontier.Limits(max_pages=MAX_PAGES, max_depth=2, round_size=ROUND))
     return out.select("log_id", "url", "status", "depth", "domain_count_before", "super_count_before", "total_priority", "priority_at_pop")
 
 

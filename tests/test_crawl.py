@@ -191,3 +191,18 @@ def test_links_of_every_logged_url(spark, tmp_path):
     first = {r["log_id"]: r["link"] for r in crawl_queries.extract_links(spark, d).where("pos = 0").collect()}
     assert first == {i: urls.canonical(u) for i, u in enumerate(logged)} and first[0] == "http://a.test/p?a=1&b=2"
     assert {r["link"] for r in crawl_queries.links_dedup(spark, d).collect()} == {*first.values(), "http://a.test"}
+
+
+def test_simulated_crawl_is_whole(spark, tmp_path, monkeypatch):
+    """All depth 0 URLs are seeds, linked pages follow, the frontier is trimmed and forbidden links fall at the pop."""
+    monkeypatch.setattr(crawl_queries, "ROUND", 60)
+    sizes, popped = [], []
+    trimmed, filtered = frontier.trimmed, frontier.robots_filter
+    monkeypatch.setattr(frontier, "trimmed", lambda f: sizes.append(f.count()) or trimmed(f, 150, 100))
+    monkeypatch.setattr(frontier, "robots_filter", lambda u, *a: popped.append(filtered(u, *a).where("NOT allowed").count()) or filtered(u, *a))
+    rows = [(i, f"http://h{i % 90}.{'test' if i % 3 else 'example'}/{'d' if i % 7 == 0 else 'p'}{i}?b=1&a={i}", int(i >= 230)) for i in range(330)]
+    log = crawl_queries.simulated_crawl(spark, crawl_log(spark, tmp_path, rows)).collect()
+    assert len({r["url"] for r in log if r["depth"] == 0}) > 60 and max(sizes) > 150 and len(popped) > 3
+    assert popped[0] > 0 and sum(popped[1:]) > 0
+    assert any(r["depth"] > 0 and r["status"] == 200 for r in log) and all(r["status"] == 200 for r in log if "/p" in r["url"])
+    assert not [r["url"] for r in log if ".test/d" in r["url"]]
