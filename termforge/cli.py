@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge import service
-from termforge.crawl import frontier, links, report
+from termforge.crawl import fetch, frontier, links, report
 from termforge.functions.text import utc_text
 from termforge.operators import index as ix
 from termforge.operators import retrieval as rt
 from termforge.session import local_session
 from termforge.sources import corpus
 
+# Fixed value: the search page that gives the seeds of a query.
+SEARCH_URL = "https://html.duckduckgo.com/html/?q="
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="termforge")
@@ -31,10 +35,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("source"), c.add_argument("out"), c.add_argument("limit", type=int)
     c = sub.add_parser("inspect")
     c.add_argument("table"), c.add_argument("--limit", type=int, default=10)
-    c = sub.add_parser("crawl", help="deterministic crawl over a stored web (url, status, html) and robots (host, robots)")
+    c = sub.add_parser("crawl", help="deterministic crawl over a stored web (url, status, html), or live, and robots (host, robots)")
     seeds = c.add_mutually_exclusive_group(required=True)
-    seeds.add_argument("--seeds-file"), seeds.add_argument("--result-page")
-    c.add_argument("--web", required=True), c.add_argument("--robots"), c.add_argument("--out", default="crawl.csv"), c.add_argument("--user-agent", default="*")
+    seeds.add_argument("--seeds-file"), seeds.add_argument("--result-page"), seeds.add_argument("--query", help="start from the results of a search page")
+    c.add_argument("--search-url", default=SEARCH_URL), c.add_argument("--timeout", type=float, default=3.0)
+    c.add_argument("--web"), c.add_argument("--robots"), c.add_argument("--out", default="crawl.csv"), c.add_argument("--user-agent", default="*")
     c.add_argument("--max-pages", type=int, default=50), c.add_argument("--max-depth", type=int, default=1), c.add_argument("--num-seeds", type=int, default=10)
     return p
 
@@ -43,8 +48,21 @@ def _documents(spark: SparkSession, source: str, docids: str) -> DataFrame:
     return spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else corpus.read_collection(spark, source, docids)
 
 
-def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> str:
-    """Run a command and return what it prints."""
+def _seeds(spark: SparkSession, a: argparse.Namespace, opener: Callable) -> DataFrame:
+    """Seed URLs (url) of a list, a stored result page or the result page of a query."""
+    if a.seeds_file:
+        return corpus.list_file(spark, a.seeds_file).select(F.col("value").alias("url"))
+    if a.query:
+        asked = spark.createDataFrame([(a.search_url + quote_plus(a.query),)], "url string")
+        page = fetch.as_pages(fetch.fetched(asked, a.timeout, a.user_agent, opener)).first()["html"] or ""
+    else:
+        with open(a.result_page, encoding="utf-8", errors="replace") as f:
+            page = f.read()
+    return spark.createDataFrame([(u,) for u in links.result_seeds(page, a.num_seeds)], "url string")
+
+
+def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, opener: Callable = fetch.web_opener) -> str:
+    """Run a command and return what it prints. `opener` fetches URLs where a crawl is live."""
     a = parser().parse_args(args)
     spark = spark or SparkSession.getActiveSession() or local_session()
     if a.command == "index":
@@ -62,13 +80,10 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "inspect":
         said = corpus.inspect(spark.read.parquet(a.table), a.limit)
     else:
-        if a.seeds_file:
-            seeds = corpus.list_file(spark, a.seeds_file).select(F.col("value").alias("url"))
-        else:
-            with open(a.result_page, encoding="utf-8", errors="replace") as f:
-                seeds = spark.createDataFrame([(u,) for u in links.result_seeds(f.read(), a.num_seeds)], "url string")
+        seeds = _seeds(spark, a, opener)
+        web = spark.read.parquet(a.web) if a.web else fetch.live_pages(a.timeout, a.user_agent, opener)
         rules = spark.read.parquet(a.robots) if a.robots else spark.createDataFrame([], "host string, robots string")
-        log = frontier.crawl(spark, seeds, spark.read.parquet(a.web), rules, a.user_agent, frontier.Limits(a.max_pages, a.max_depth))
+        log = frontier.crawl(spark, seeds, web, rules, a.user_agent, frontier.Limits(a.max_pages, a.max_depth))
         report.write_log(log.withColumn("ts_iso", utc_text(F.current_timestamp())), a.out)
         errors = {r["status"]: r["n"] for r in report.status_errors(log).collect()}
         said = json.dumps({**report.summary(log).first().asDict(), "errors": errors})

@@ -9,6 +9,7 @@ from termforge.functions.scoring import page_score, super_score, total_priority
 from termforge.functions.urls import url_domain, url_superdomain
 from termforge.operators.ranges import numbered
 
+# The columns of the log, in order.
 LOG_COLUMNS = ("ts_iso", "url", "status", "depth", "bytes", "domain", "superdomain", "domain_count_before", "super_count_before",
                "page_score", "super_score", "total_priority", "priority_at_pop")
 

@@ -21,10 +21,6 @@ def snippet(content: Column, query: Column, max_length: int = 200) -> Column:
     low = F.lower(content)
     terms = query_terms(query)
 
-    def near(start: Column) -> Column:
-        around = F.substring(low, start + 1, F.least(F.lit(2 * NEAR), start + 2 * NEAR))
-        return F.size(F.filter(terms, lambda o: F.contains(around, o)))
-
     def place(term: Column) -> Column:
         pos = F.instr(low, term) - 1
         start = F.greatest(F.lit(0), pos - NEAR)

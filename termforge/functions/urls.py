@@ -9,12 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Binary suffixes, tracking parameters, schemes that aren't pages, two-label suffixes.
-BINARY_SUFFIXES = "jpg jpeg png gif webp svg ico pdf zip tar gz tgz bz2 xz rar 7z mp3 wav flac mp4 avi mov mkv webm css js woff woff2 ttf eot".split()
+# Binary suffixes, tracking parameters, default ports, schemes that aren't pages, two-label suffixes, index files.
+BINARY_SUFFIXES = (
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "pdf", "zip", "tar", "gz", "tgz", "bz2", "xz", "rar", "7z",
+    "mp3", "wav", "flac", "mp4", "avi", "mov", "mkv", "webm", "css", "js", "woff", "woff2", "ttf", "eot",
+)
 TRACKING_PREFIX, TRACKING_NAMES = "utm_", ("fbclid", "gclid")
 DEFAULT_PORTS = {"http": 80, "https": 443}
 SKIPPED_SCHEMES = ("mailto:", "javascript:", "tel:", "ftp:", "file:", "data:", "blob:")
 TWO_LABEL_SUFFIXES = ("co.uk", "ac.uk")
+INDEX_FILES = ("index.html", "index.htm", "index.jsp", "main.html")
 
 _AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
@@ -53,7 +57,7 @@ def canonical(url: str, rewrite_index: bool = False) -> str:
     path = "" if parts.path == "/" else parts.path
     if rewrite_index:
         head, _, tail = path.rpartition("/")
-        if tail.lower() in ("index.html", "index.htm", "index.jsp", "main.html"):
+        if tail.lower() in INDEX_FILES:
             path = head + "/" if head else ""
     return urlunparse((scheme, netloc, path, "", urlencode(kept), ""))
 

@@ -16,7 +16,7 @@ MAX_PAGES, ROUND = 6_000, 1_000
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    """The crawl log without repeated rows and rows without a URL."""
+    """The crawl log's rows with a URL; log_id tells repeated rows apart."""
     return table(spark, d, "crawl_log").where("url IS NOT NULL")
 
 
@@ -69,7 +69,8 @@ def link_scheme_filter(spark, d):
 
 
 def crawl_running_counts(spark, d):
-    rows = _log(spark, d).where("depth IS NOT NULL").groupBy("log_id").agg(F.min("crawl_id").alias("crawl_id"), F.min("url").alias("url"), F.min("depth").alias("depth"))
+    """Counts before each logged fetch; a row without a depth counts, too, and has a null total priority."""
+    rows = _log(spark, d).select("log_id", "crawl_id", "url", "depth")
     out = report.with_priority(report.running_counts(rows))
     return out.select("log_id", "domain_count_before", "super_count_before", "page_score", "super_score", "total_priority")
 
@@ -162,9 +163,8 @@ ORACLE = {
     "url_defragmented": "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM crawl_log WHERE url IS NOT NULL",
     "url_binary_or_cgi": f"SELECT log_id, regexp_matches({_PATH}, '\\.({'|'.join(urls.BINARY_SUFFIXES)})$') AS is_binary, contains(lower(url), 'cgi') AS is_cgi FROM crawl_log WHERE url IS NOT NULL",
     "link_scheme_filter": "SELECT log_id, unnest([url, 'MAILTO:a@b.test']) AS href FROM crawl_log WHERE url IS NOT NULL AND trim(url) <> ''",
-    "crawl_running_counts": _L + """, one AS (SELECT log_id, min(crawl_id) AS crawl_id, min(url) AS url, min(depth) AS depth FROM u WHERE depth IS NOT NULL GROUP BY log_id),
-c AS (SELECT o.log_id, o.crawl_id, o.depth, u.domain, u.superdomain FROM one o JOIN (SELECT DISTINCT log_id, url, domain, superdomain FROM u) u USING (log_id, url)),
-r AS (SELECT log_id, depth, row_number() OVER (PARTITION BY crawl_id, domain ORDER BY log_id) - 1 AS d, row_number() OVER (PARTITION BY crawl_id, superdomain ORDER BY log_id) - 1 AS s FROM c)
+    "crawl_running_counts": _L + """, r AS (SELECT log_id, depth, row_number() OVER (PARTITION BY crawl_id, domain ORDER BY log_id) - 1 AS d,
+  row_number() OVER (PARTITION BY crawl_id, superdomain ORDER BY log_id) - 1 AS s FROM u)
 SELECT log_id, d AS domain_count_before, s AS super_count_before, round(1 / log2(2 + d), 3) AS page_score, round(0.1 / log2(2 + s), 3) AS super_score,
   round(1 / log2(2 + d) + 0.1 / log2(2 + s) + 1 / (1.0 + depth), 3) AS total_priority FROM r""",
     "crawl_summary": """SELECT count(*) AS pages, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, count(DISTINCT lower(domain)) AS domains,

@@ -41,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local runs) a temporary folder is set.
+    Only a local session (tests, benchmarks), whose executors are on this machine, may name none: a temporary
+    folder is set then. On a cluster that is an error, as executors would write to folders of their own.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         folder = tempfile.mkdtemp(prefix="termforge-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
@@ -106,5 +109,5 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             remove(spark, path)
-        except Exception:
-            return
+        except Exception:  # a stopped session or a folder that is gone; the others are still to be removed
+            continue

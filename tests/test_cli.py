@@ -8,10 +8,10 @@ from termforge.functions.text import body_text, utc_text
 
 def test_index_search_inspect(spark, toy, tmp_path):
     toy.write.parquet(str(tmp_path / "docs.parquet"))
-    assert cli.main(["index", str(tmp_path / "docs.parquet"), str(tmp_path / "ix")], spark).startswith("10 documents, average length 13.600")
-    assert cli.main(["search", str(tmp_path / "ix"), "machine learning"], spark) == "7\t4.186342"
-    assert cli.main(["search", str(tmp_path / "ix"), "the of", "--mode", "or", "--topk", "1"], spark) == "6\t1.500814"
-    assert "10 rows" in cli.main(["inspect", str(tmp_path / "docs.parquet"), "--limit", "2"], spark)
+    assert cli.main(["index", str(tmp_path / "docs.parquet"), str(tmp_path / "ix")], spark).startswith("8 documents, average length 6.875")
+    assert cli.main(["search", str(tmp_path / "ix"), "clock tower"], spark) == "5\t3.050007"
+    assert cli.main(["search", str(tmp_path / "ix"), "the river", "--mode", "or", "--topk", "1"], spark) == "5\t1.716656"
+    assert "8 rows" in cli.main(["inspect", str(tmp_path / "docs.parquet"), "--limit", "2"], spark)
 
 
 def test_tsv_subset(spark, tmp_path):
@@ -32,6 +32,25 @@ def test_crawl(spark, tmp_path):
         cli.main(["crawl", "--web", "x"], spark)
 
 
+def test_live_crawl_from_a_query(spark, tmp_path):
+    """The search page and all pages come through the opener, which runs on the executors."""
+
+    def opener(url, timeout, agent):
+        pages = {
+            "http://find.test/?q=old+ships": '<a class="result__a" href="//r/?uddg=http%3A%2F%2Fa.test%2F">x</a>', "http://a.test/": '<a href="/next">n</a><a href="/gone">g</a>',
+            "http://a.test/next": "end",
+        }
+        if timeout != 1.5 or agent != "me" or url not in pages:
+            raise TimeoutError(url)
+        return {"final_url": url, "code": 200, "content_type": "text/html", "payload": pages[url].encode()}
+
+    asked = ["crawl", "--query", "old ships", "--search-url", "http://find.test/?q=", "--timeout", "1.5", "--user-agent", "me", "--out", str(tmp_path / "log")]
+    said = json.loads(cli.main(asked, spark, opener))
+    assert said == {"pages": 3, "total_bytes": 45, "domains": 1, "superdomains": 1, "errors": {}}
+    log = spark.read.csv(str(tmp_path / "log"), header=True)
+    assert {(r["url"], r["status"]) for r in log.collect()} == {("http://a.test/", "200"), ("http://a.test/next", "200"), ("http://a.test/gone", "0")}
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb"), "2025-01-02 03:04:05")], "b binary, t string")
     assert tuple(df.select(body_text("b"), utc_text(df.t.cast("timestamp"))).first()) == ("a�b", "2025-01-02T03:04:05Z")

@@ -1,7 +1,8 @@
+import gzip
 import json
 import threading
-import urllib.error
 import urllib.request
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,15 +14,14 @@ from termforge.operators import index as ix
 from termforge.plans import crawl_queries
 
 DOMAINS = [
-    ("http://cs.nyu.edu/index.html", "nyu.edu", "edu"), ("https://www.guardian.co.uk/news", "guardian.co.uk", "uk"),
-    ("http://subdomain.example.com/page", "example.com", "com"), ("https://localhost:8080/", "localhost", "localhost"),
-    ("http://bbc.co.uk", "bbc.co.uk", "uk"), ("http://ox.ac.uk", "ox.ac.uk", "uk"), ("HTTP://User:pw@WWW.A_b.Example:81/x", "a_b.example", "example"),
-    ("http://127.0.0.1/", "0.1", "1"), ("no url", "", ""),
+    ("http://maps.harbor.test/a/b.html", "harbor.test", "test"), ("https://shop.lamp.co.uk/x", "lamp.co.uk", "uk"), ("http://lamp.co.uk", "lamp.co.uk", "uk"),
+    ("http://deep.dept.ac.uk/?q", "dept.ac.uk", "uk"), ("https://intranet:9000/", "intranet", "intranet"), ("HTTP://Me:pw@WWW.Ri_ver.Example:81/x", "ri_ver.example", "example"),
+    ("http://10.20.30.40/", "30.40", "40"), ("http://anchor.museum/path", "anchor.museum", "museum"), ("no url", "", ""),
 ]
 CANONICAL = [
-    ("https://GitHub.com/", "https://github.com"), ("https://github.com?utm_source=foo&b=2&a=1", "https://github.com?a=1&b=2"),
-    ("https://example.com:443/", "https://example.com"), ("http://example.com:80/", "http://example.com"),
-    ("https://example.com:8080/path", "https://example.com:8080/path"), ("https://example.com/page#fragment", "https://example.com/page"),
+    ("https://Tide.Test/", "https://tide.test"), ("https://tide.test?gclid=9&z=2&utm_campaign=q&m=1", "https://tide.test?m=1&z=2"),
+    ("https://tide.test:443/x/", "https://tide.test/x/"), ("http://tide.test:80", "http://tide.test"), ("http://tide.test:443/x", "http://tide.test:443/x"),
+    ("https://tide.test/chart#depth", "https://tide.test/chart"), ("https://tide.test/?b&a=", "https://tide.test?a=&b="),
 ]
 
 
@@ -38,7 +38,7 @@ def test_canonical(spark):
     given, want = [u for u, _ in CANONICAL], [c for _, c in CANONICAL]
     assert column(spark, given, urls.canonical_simple) == want
     assert column(spark, [*given, None, "http://a:bad/"], urls.canonicalize) == [*want, None, None]
-    assert urls.canonical("http://user:pw@Host.com/foo/index.html;v=1?GCLID=1&e=&q=a%20b/c") == "http://host.com/foo/index.html?e=&q=a+b%2Fc"
+    assert urls.canonical("http://me:pw@Tide.Test/log/main.html;p=2?FBCLID=7&k=&w=x%20y/z") == "http://tide.test/log/main.html?k=&w=x+y%2Fz"
     assert urls.canonical("http://h.com/foo/index.html", rewrite_index=True) == "http://h.com/foo/"
 
 
@@ -51,12 +51,13 @@ def test_filters(spark):
     assert column(spark, ["http://a/b#c#d", "x"], urls.defragment) == ["http://a/b", "x"]
 
 
-PAGE = """<a href="x">before</a><base href="https://GitHub.com/SomePage"><a href="/">r</a><a href="?z=1&utm_x=2&a=2">q</a><a href="Contact">c</a>
-<a href="javascript:1">j</a><a>none</a><a href="http://Example.com:80/path/" href="http://later.example/">d</a><base href="http://no/"><a href=" https://example.com/#f ">e</a>"""
+PAGE = """<a href="first">f</a><base target="_top"><base href="https://Tide.Test/Charts/"><p><a href="/">r</a><a href="?w=3&utm_y=1&b=2">q</a><a href="North">c</a>
+<a href="tel:123">t</a><a name="x">none</a><a href="http://Anchor.test:80/p/" href="http://again.test/">d</a><base href="http://not.test/"><a href=" https://lamp.test/#w ">e</a>"""
 
 
 def test_links(spark):
-    want = ["http://start.test/d/x", "https://github.com", "https://github.com/SomePage?a=2&z=1", "https://github.com/Contact", "http://later.example", "https://example.com"]
+    want = ["http://start.test/d/first", "https://tide.test", "https://tide.test/Charts/?b=2&w=3", "https://tide.test/Charts/North", "http://again.test", "https://lamp.test"]
+    assert links.page_links('<a href="/a">a</a><a href="http://x:bad/">b</a><a href="/c">c</a>', "http://s.test") == ["http://s.test/a"]
     assert links.page_links(PAGE, "http://start.test/d/p") == want
     df = spark.createDataFrame([(PAGE, "http://start.test/d/p"), (None, "http://a"), ("no links", None)], "html string, base string")
     assert [r[0] for r in df.select(links.extract_links("html", "base")).collect()] == [want, None, []]
@@ -77,36 +78,34 @@ def test_robots(spark):
     assert robots.may_fetch("http://a/x", None, "me") and not robots.may_fetch("x", None, "me") and not robots.may_fetch("http://a/x", "User-agent: *\nDisallow: /", "me")
 
 
-def test_fetch_decoding():
-    import gzip
-    import zlib
-    from types import SimpleNamespace
-
-    raw = b"<html>"
-    assert fetch.decoded_body(gzip.compress(raw), "GZIP") == raw and fetch.decoded_body(zlib.compress(raw), "deflate") == raw
-    assert fetch.decoded_body(zlib.compress(raw)[2:-4], "deflate") == raw and fetch.decoded_body(b"junk", "gzip") == b"junk"
-
-    class Response(SimpleNamespace):
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *a):
-            pass
-
-    def opener(kind):
-        return lambda req, timeout: Response(headers={"Content-Type": kind}, status=200, geturl=lambda: "http://final", read=lambda: raw)
+def test_content_encodings(spark):
+    raw = b"<html>" * 9
+    deflated = zlib.compress(raw)
+    cases = [
+        (gzip.compress(raw), "GZIP", raw), (gzip.compress(raw[:6]) + gzip.compress(raw[6:]), "gzip", raw), (deflated, "deflate", raw), (deflated[2:-4], "deflate", raw),
+        (b"junk", "gzip", b"junk"), (gzip.compress(raw)[:-9], "gzip", gzip.compress(raw)[:-9]), (raw, "br", raw), (raw, None, raw), (b"", "gzip", b""), (None, "gzip", None),
+    ]
+    df = spark.createDataFrame([(i, p, e) for i, (p, e, _) in enumerate(cases)], "i int, p binary, e string").orderBy("i")
+    assert [None if r[0] is None else bytes(r[0]) for r in df.select(fetch.content("p", "e")).collect()] == [w for *_, w in cases]
 
-    assert fetch.fetch_result("http://a", 1, "me", opener("text/html; x")) == {"final_url": "http://final", "status": 200, "body": raw}
-    assert fetch.fetch_result("http://a", 1, "me", opener("image/png"))["body"] is None
 
-    def failing(error):
-        def f(req, timeout):
-            raise error
+def test_responses_and_openers(spark):
+    rows = [
+        ("http://a", "http://b", 200, None, "Text/HTML; x", "gzip", gzip.compress("é".encode())), ("http://pic", None, 200, None, "image/png", None, b"x"),
+        ("http://gone", None, 404, None, "text/html", None, b"x"), ("http://slow", None, None, "TimeoutError", None, None, None), (None, None, None, None, None, None, None),
+    ]
+    got = [tuple(r) for r in fetch.as_pages(spark.createDataFrame(rows, fetch.RESPONSE)).collect()]
+    assert got == [("http://a", "http://b", "200", "é"), ("http://pic", "http://pic", "200", None), ("http://gone", "http://gone", "404", None),
+                   ("http://slow", "http://slow", "error:TimeoutError", None), (None, None, None, None)]
 
-        return f
+    def opener(url, timeout, agent):
+        if "slow" in url:
+            raise ConnectionResetError
+        return {"code": 503} if "busy" in url else {"code": 200, "content_type": "text/html", "payload": agent.encode()}
 
-    assert fetch.fetch_result("http://a", 1, "me", failing(TimeoutError()))["status"] == "error:TimeoutError"
-    assert fetch.fetch_result("http://a", 1, "me", failing(urllib.error.HTTPError("http://a", 404, "x", {}, None)))["status"] == 404
+    urls_ = spark.createDataFrame([("http://ok",), ("http://slow",), ("http://busy",), (None,)], "url string")
+    got = {tuple(r) for r in fetch.live_pages(1, "me", opener)(urls_).collect()}
+    assert got == {("http://ok", "200", "me"), ("http://slow", "error:ConnectionResetError", None), ("http://busy", "503", None)}
 
 
 def test_running_counts_and_priority(spark):
@@ -156,18 +155,18 @@ def test_log_csv(spark, tmp_path):
 
 def test_service(toy):
     index = ix.of_documents(toy)
-    status, answer = service.handle_search(index, json.dumps({"query": "the of"}))
-    assert status == 200 and answer["totalResults"] == 5 and answer["results"][0]["docid"] == 6 and answer["mode"] == "AND"
+    status, answer = service.handle_search(index, json.dumps({"query": "the river"}))
+    assert status == 200 and answer["totalResults"] == 2 and answer["results"][0]["docid"] == 5 and answer["mode"] == "AND"
     assert service.handle_search(index, '{"query": " "}')[0] == 400 and service.handle_search(index, '{"query": "a", "mode": "XOR"}')[0] == 400
     assert service.handle_search(None, '{"query": "a"}')[0] == 500 and service.handle_search(index, "{")[0] == 500
-    assert service.health(index)["documents"] == 10
+    assert service.health(index)["documents"] == 8
     s = service.server(index, 0)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{s.server_port}"
     with urllib.request.urlopen(f"{base}/health") as r:
         assert json.load(r)["status"] == "ok"
-    with urllib.request.urlopen(urllib.request.Request(f"{base}/search", data=b'{"query": "earth", "mode": "OR"}')) as r:
-        assert json.load(r)["results"][0]["docid"] == 6
+    with urllib.request.urlopen(urllib.request.Request(f"{base}/search", data=b'{"query": "nobody", "mode": "OR"}')) as r:
+        assert json.load(r)["results"][0]["docid"] == 4
     with urllib.request.urlopen(base) as r:
         assert b"search" in r.read()
     s.shutdown()
