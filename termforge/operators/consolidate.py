@@ -2,7 +2,8 @@
 
 The flushed runs are cut into key ranges; within a range the runs are merged by Spark's external
 sorter, which sorts what fits in memory, spills sorted runs and merges them k ways. Every row
-keeps the run it came from, so the merge itself tells which run first held a record.
+keeps the run it came from, so the merge itself tells which run first held a record. Outputs roll by bytes, and
+their range metadata is read back from the files.
 """
 
 from __future__ import annotations
@@ -10,27 +11,65 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from termforge.operators.skew import least_share
 
 RECORD = ("term", "docid", "chunk_no", "tf")
+# A record is taken for hot if it comes up in the sample half as often as one holding a task's share of the rows would.
+SAMPLED, SUSPECT = 100, 50
+
+
+def hot_records(live: DataFrame, record: Sequence[str], n_rows: int) -> list[int]:
+    """Hashes of records that seem to hold a task's share of the rows or more, from a sample of SAMPLED rows per task.
+
+    At most SAMPLED / SUSPECT hashes per task are collected. They only decide which of two exact ways a record takes.
+    """
+    share = least_share(live.sparkSession)
+    if n_rows <= SAMPLED * share:
+        return []
+    sample = live.sample(SAMPLED * share / n_rows, seed=11).select(F.xxhash64(*record).alias("h"))
+    return [r[0] for r in sample.groupBy("h").count().where(F.col("count") >= SUSPECT).select("h").collect()]
 
 
 def merge_runs(run: DataFrame, record: Sequence[str] = RECORD, source: str = "file_id", ranges: int | None = None) -> DataFrame:
-    """Rows (record..., source, n_copies, seq) ordered by record within disjoint record ranges.
-
-    One row per record and source; n_copies says how often the source repeats the record, seq
-    numbers the sources of a record from 1 in ascending order (a null source last), so that
-    seq = 1 is the record itself and all other rows are deliveries of it again. Rows whose
-    first record column is null are damaged and left out; nulls in the others are values.
-    Repeats are combined map-side before the range exchange, and ranges are cut on the whole
-    record, so neither a frequent term nor a record delivered over and over fills one task.
+    """Rows (record..., source, n_copies, n_total, repeat) in disjoint record ranges, ordered by record.
+
+    One row per record and source; n_copies says how often the source repeats the record. Where repeat is false
+    the source is the record's smallest (a null source only if it has no other), and n_total its number of
+    copies in all sources; all other rows are deliveries of it again. Rows whose first record column is
+    null are damaged and left out; nulls in the others are values.
+
+    One shuffle: rows go to their range straight from the scan, and are combined there. Records that hold a task's share
+    of the rows are combined map-side before, so only their first row takes part in the merge; their
+    repeats follow unordered.
     """
-    rows = run.where(F.col(record[0]).isNotNull()).groupBy(*record, source).agg(F.count(F.lit(1)).alias("n_copies"))
+    live = run.where(F.col(record[0]).isNotNull()).select(*record, source)
+    hot = hot_records(live, record, run.count())
+    rows = live.withColumn("n_copies", F.lit(1).cast("bigint")).withColumn("_others", F.lit(0).cast("bigint"))
+    repeats = None
+    if hot:
+        is_hot = F.xxhash64(*record).isin(hot)
+        per_source = live.where(is_hot).groupBy(*record, source).agg(F.count(F.lit(1)).alias("n_copies"))
+        names = [f"_{c}" for c in record]
+        first = per_source.groupBy(*[F.col(c).alias(n) for c, n in zip(record, names, strict=True)]).agg(F.min(source).alias("_first"), F.sum("n_copies").alias("_all"))
+        same = F.lit(True)
+        for c, n in zip(record, names, strict=True):
+            same = same & F.col(c).eqNullSafe(F.col(n))
+        marked = per_source.join(F.broadcast(first), same)  # one row per hot record
+        is_first = F.col(source).eqNullSafe(F.col("_first"))
+        rows = rows.where(~is_hot).unionByName(marked.where(is_first).select(*record, source, "n_copies", (F.col("_all") - F.col("n_copies")).alias("_others")))
+        repeats = marked.where(~is_first).select(*record, source, "n_copies", F.lit(None).cast("bigint").alias("n_total"), F.lit(True).alias("repeat"))
     ranged = rows.repartitionByRange(ranges, *record) if ranges else rows.repartitionByRange(*record)
-    last = F.col(source).asc_nulls_last()
-    merged = ranged.sortWithinPartitions(*record, last)
-    return merged.withColumn("seq", F.row_number().over(Window.partitionBy(*record).orderBy(last)))
+    combined = ranged.groupBy(*record, source).agg(F.sum("n_copies").alias("n_copies"), F.sum("_others").alias("_others"))
+    of_record = Window.partitionBy(*record)  # the range is in this order, and a record's sources are few
+    first_source = F.min(source).over(of_record)
+    merged = combined.select(
+        *record, source, "n_copies", F.sum(F.col("n_copies") + F.col("_others")).over(of_record).alias("n_total"), (~F.col(source).eqNullSafe(first_source)).alias("repeat")
+    )
+    return merged if repeats is None else merged.unionByName(repeats)
 
 
 def source_report(merged: DataFrame, source: str = "file_id") -> DataFrame:
@@ -39,11 +78,11 @@ def source_report(merged: DataFrame, source: str = "file_id") -> DataFrame:
     return merged.groupBy(source).agg(
         F.sum("n_copies").alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct"),
-        F.count(F.when(F.col("seq") == 1, 1)).alias("n_first"),
+        F.count(F.when(~F.col("repeat"), 1)).alias("n_first"),
     )
 
 
-def record_bytes(record: Sequence[str], df: DataFrame) -> F.Column:
+def record_bytes(record: Sequence[str], df: DataFrame) -> Column:
     kinds = dict(df.dtypes)
     fixed = {"bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
     return sum((F.coalesce(F.octet_length(c), F.lit(0)) if kinds[c] in ("string", "binary") else F.lit(fixed.get(kinds[c], 16)) for c in record), F.lit(0))
@@ -57,7 +96,8 @@ def consolidate(
     Output files hold disjoint, ascending key ranges and about `target_bytes` (estimated, before
     encoding) each: the number of ranges follows from the measured bytes, and a range that
     came out too large rolls over into a further file. Each distinct record is written once;
-    keep_duplicates writes it as often as the runs hold it. Returned range metadata, read back
+    keep_duplicates writes it as often as the runs hold it. What the runs delivered again is kept apart (see
+    consolidated and merged_rows), so a run can still be accounted for. Returned range metadata, read back
     from the files: (file_name, n_rows, n_bytes, first_key, last_key). An empty input writes
     an empty table and returns no rows.
     """
@@ -65,14 +105,26 @@ def consolidate(
     live = run.where(F.col(record[0]).isNotNull())
     size = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(record_bytes(record, run)), F.lit(0)).alias("b")).first()
     ranges = max(1, math.ceil(size["b"] / target_bytes))
-    merged = merge_runs(run, record, source, ranges)
+    out = merge_runs(run, record, source, ranges)
     if keep_duplicates:
-        out = merged.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*record)
-    else:
-        out = merged.where(F.col("seq") == 1).select(*record)
+        again = F.when(F.col("repeat"), 1).otherwise(F.col("n_total")).cast("int")
+        out = out.withColumn("_again", F.explode(F.sequence(F.lit(1), again))).drop("_again")
     per_file = max(1, int(1.25 * target_bytes * size["n"] / max(1, size["b"])))
-    out.write.option("maxRecordsPerFile", per_file).mode("overwrite").parquet(path)
-    return file_ranges(spark.read.schema(out.schema).parquet(path), record)
+    out.sortWithinPartitions("repeat", *record).write.option("maxRecordsPerFile", per_file).partitionBy("repeat").mode("overwrite").parquet(path)
+    return file_ranges(consolidated(spark, path, run.schema, record), record)
+
+
+def merged_rows(spark: SparkSession, path: str, schema: T.StructType, record: Sequence[str] = RECORD, source: str = "file_id") -> DataFrame:
+    """All rows written by consolidate, as merge_runs gives them; `schema` is that of the runs."""
+    count = T.LongType()
+    columns = [T.StructField(c, schema[c].dataType) for c in (*record, source)]
+    columns += [T.StructField("n_copies", count), T.StructField("n_total", count), T.StructField("repeat", T.BooleanType())]
+    return spark.read.schema(T.StructType(columns)).parquet(path)
+
+
+def consolidated(spark: SparkSession, path: str, schema: T.StructType, record: Sequence[str] = RECORD, source: str = "file_id") -> DataFrame:
+    """The records written by consolidate, ordered within files."""
+    return merged_rows(spark, path, schema, record, source).where(~F.col("repeat")).select(*record)
 
 
 def file_ranges(written: DataFrame, record: Sequence[str] = RECORD) -> DataFrame:

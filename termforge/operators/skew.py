@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.session import materialize
@@ -90,15 +90,32 @@ def heavy_keys(summary: DataFrame, key: str, one_in: int, weight: str = "n_rows"
     return summary.where(F.col(weight) * one_in >= total.scalar())
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, key: str, hot: list, spread: Sequence[str], ways: int = 32) -> DataFrame:
-    """big joined (inner) with small, which has one row per key, on key.
+def least_share(spark: SparkSession) -> int:
+    """One in how many rows makes a key hot: a task's even share of a shuffle, and never more than one in eighty."""
+    return max(80, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Keys in `hot` (a proven short list, see heavy_keys) are split into `ways` parts by a hash
-    of the `spread` columns of big, and their rows of small are repeated once per part.
+
+def hot_keys(summary: DataFrame, key: str, weight: str = "n_rows", one_in: int | None = None) -> DataFrame:
+    """(key, _ways): the keys of a per-key summary that hold more than one in `one_in` of the total weight, and into how
+    many parts each must be split for a part to weigh no more than that. Null keys don't count.
+
+    By default `one_in` is the number of shuffle partitions (see least_share). There are at most `one_in` such keys and
+    2 * `one_in` parts by arithmetic, so the table may be broadcast whatever the data. The summary is read twice.
+    """
+    one_in = one_in or least_share(summary.sparkSession)
+    keyed = summary.where(F.col(key).isNotNull())
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t"))
+    ways = F.ceil(F.try_divide(F.col(weight) * one_in, total.scalar())).cast("int")
+    return heavy_keys(keyed, key, one_in, weight).select(key, ways.alias("_ways")).where(F.col("_ways") > 1)
+
+
+def salted_lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """big joined (inner) with small on key, hot keys of big spread over several tasks.
+
+    `hot` is (key, _ways) of hot_keys. Rows of big with a hot key go to one of its parts by a hash of the `spread`
+    columns, and its rows of small are repeated once per part. small should have few rows per hot key.
     """
-    if not hot:
-        return big.join(small, key)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    left = big.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int")).otherwise(0))
-    right = small.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_part"]).drop("_part")
+    ways = F.broadcast(hot.select(F.col(key).alias("_hot"), "_ways"))  # at most one_in rows, see hot_keys
+    left = big.join(ways, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*spread), F.coalesce("_ways", F.lit(1))).cast("int"))
+    right = small.join(ways, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))
+    return left.drop("_hot", "_ways").join(right.drop("_hot", "_ways"), [key, "_part"]).drop("_part")

@@ -11,6 +11,7 @@ from termforge.session import scratch_path, table
 from termforge.sources import strict_lines
 
 FEW_RECORDS = 64
+FILE_BYTES = 16 << 20
 HEAVY_ONE_IN = 80
 PERCENTILES = (0.5, 0.9, 0.99)
 
@@ -23,20 +24,26 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return strict_lines.loaded_rows(table(spark, d, "raw_lines"))
 
 
+def _merged(spark: SparkSession, d: str, target_bytes: int):
+    """The run table consolidated: its files' ranges, and the path they are at."""
+    run, path = table(spark, d, "run"), scratch_path(spark, "consolidated")
+    return C.consolidate(run, path, target_bytes=target_bytes), path, run.schema
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    report = C.source_report(C.merge_runs(table(spark, d, "run")))
+    _, path, schema = _merged(spark, d, FILE_BYTES)
+    report = C.source_report(C.merged_rows(spark, path, schema))
     return report.where(F.col("file_id").isNotNull() & (F.col("n_distinct") < FEW_RECORDS) & (F.col("n_first") > 0)).select("file_id")
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     """The consolidated table, read back from the files written."""
-    path = scratch_path(spark, "consolidated")
-    C.consolidate(table(spark, d, "run"), path)
-    return spark.read.parquet(path)
+    _, path, schema = _merged(spark, d, FILE_BYTES)
+    return C.consolidated(spark, path, schema)
 
 
 def p3_file_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return C.consolidate(table(spark, d, "run"), scratch_path(spark, "consolidated"), target_bytes=4 << 20).drop("file_name")
+    return _merged(spark, d, FILE_BYTES)[0].drop("file_name")
 
 
 def _by_docid(spark: SparkSession, d: str) -> DataFrame:

@@ -50,13 +50,29 @@ def test_heavy_keys_and_lookup(spark):
     rows = data(2)
     big = frame(spark, rows)
     s = skew.key_summary(skew.compress_values(big, "k", "v"), "k", "v")
-    hot = [r["k"] for r in skew.heavy_keys(s, "k", 5).collect()]
-    assert hot == ["hot"]
+    hot = skew.hot_keys(s, "k", one_in=5)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 2 + (10 * s.where("k = 'hot'").first()["n_rows"] > 4 * s.agg(F.sum("n_rows")).first()[0]))]
     small = spark.createDataFrame([("hot", 1), ("a", 2), ("zzz", 3)], "k string, w int")
     got = Counter((r["k"], r["v"], r["w"]) for r in skew.salted_lookup(big, small, "k", hot, ["v"]).select("k", "v", "w").collect())
     assert got == Counter((k, v, {"hot": 1, "a": 2}[k]) for k, v, *_ in rows if k in ("hot", "a"))
 
 
+def test_every_hot_key_is_split_by_its_weight(spark):
+    """Keys of a half, of just under one in eighty and of a task's share: no part exceeds the share, none is lost."""
+    one_in = 200
+    weights = {"half": 10_000, "under": 240, "share": 100, "rest": 90}
+    rest = 20_000 - sum(weights.values())
+    summary = spark.createDataFrame([*weights.items(), *((f"r{i}", 1) for i in range(rest)), (None, 5000)], "k string, n_rows bigint")
+    total = 20_000
+    ways = {r["k"]: r["_ways"] for r in skew.hot_keys(summary, "k", one_in=one_in).collect()}
+    assert ways == {"half": 100, "under": 3} and all(weights[k] / w <= total / one_in for k, w in ways.items())
+    big = summary.where("k IN ('half', 'under')").select("k", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("v"))
+    small = spark.createDataFrame([("half", "x"), ("under", "y")], "k string, w string")
+    out = skew.salted_lookup(big, small, "k", skew.hot_keys(summary, "k", one_in=one_in), ["v"])
+    assert {r["w"]: r["n"] for r in out.groupBy("w").agg(F.countDistinct("v").alias("n")).collect()} == {"x": 10_000, "y": 240}
+    assert skew.least_share(spark) == 80
+
+
 def test_empty(spark):
     c = skew.compress_values(frame(spark, []), "k", "v")
     s = skew.key_summary(c, "k", "v")
