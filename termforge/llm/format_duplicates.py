@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions.text import WORD, words
-from termforge.operators.skew import heavy_keys, salted_lookup
+from termforge.operators.skew import hot_keys, salted_lookup
 from termforge.session import materialize
 
-HOT_ONE_IN = 80
 LEAST_FIELDS = 3
 # Fixed value: what separates the fields of a list.
 FIELD_BREAK = r"[|;\n\r\x0B\x0C\x85\x{2028}\x{2029}]"
@@ -71,15 +70,13 @@ def copies(rows: DataFrame, row_id: str = "row_id", text: str = "text") -> DataF
     """(row_id, copy_row_id): for each group its smallest row id with each further member's.
 
     A star, not all pairs. Rows find their group by the SHA-256 of text and canonical text; texts
-    and groups holding at least one in eighty of all rows or variants (at most eighty of each) are
-    split over 32 parts of the joins. Rows with a null row id are no members.
+    and groups holding more than a task's share of all rows or variants are split by their weight. Rows with a null row id are no members.
     """
     picked = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     distinct = _distinct_texts(picked)
     groups = materialize(_groups(distinct).drop("canonical"), "copy-groups")
     several = groups.where(F.col("n_copies") > 1)
-    hot_groups = [r[0] for r in heavy_keys(groups, "group_key", HOT_ONE_IN, "n_variants").select("group_key").collect()]
-    hot_texts = [r[0] for r in heavy_keys(distinct, "text_key", HOT_ONE_IN, "n").select("text_key").collect()]
+    hot_groups, hot_texts = hot_keys(groups, "group_key", "n_variants"), hot_keys(distinct, "text_key", "n")
     of_text = salted_lookup(
         distinct.select("text_key", "group_key"), several.select("group_key", F.col("row_id").alias("group_id")), "group_key", hot_groups, ["text_key"]
     )

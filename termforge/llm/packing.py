@@ -10,7 +10,8 @@ no task sees more than a shard of one container.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termforge.functions.text import public_token_count
+from termforge.session import materialize
 
 LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
 SHARD_PIECES = 4096
-MOST_CONTAINERS = 1000
+CONTAINERS_AT_ONCE = 1000
 ASSIGNMENT = T.StructType(
     [
         T.StructField("container_id", T.LongType()),
@@ -107,27 +109,52 @@ def pack_documents(
 
     A sequence is (container_id, shard, seq_no) and holds at most `capacity` tokens; only
     documents longer than the capacity are cut (n_parts > 1). Documents with a null or empty text
-    and no given size don't occur. Containers are few (at most a thousand, checked) and positive;
-    a null id or capacity is left out. Pieces go to shards of about `shard_pieces` by a hash of
+    and no given size don't occur. A container with a null id, or a null or non-positive capacity is left out. Containers are
+    taken in blocks of CONTAINERS_AT_ONCE, as literals of the scan, however many there are. Pieces go to shards of about `shard_pieces` by a hash of
     all their fields, which spreads pieces of one document and of equal ids.
     """
-    kinds = containers.select("container_id", "capacity").where(F.col("container_id").isNotNull() & (F.col("capacity") > 0)).distinct().limit(MOST_CONTAINERS + 1).collect()
-    if len(kinds) > MOST_CONTAINERS:
-        raise ValueError(f"more than {MOST_CONTAINERS} containers")
+    usable = containers.select("container_id", "capacity").where(F.col("container_id").isNotNull() & (F.col("capacity") > 0)).distinct()
     id_kind = dict(docs.dtypes)[doc_id]
-    if not kinds:
-        return docs.sparkSession.createDataFrame([], ASSIGNMENT).withColumn("doc_id", F.col("doc_id").cast(id_kind))
-    sizes = document_sizes(docs, doc_id, text, n_tokens)
-    rows = pieces(sizes, [(r[0], r[1]) for r in kinds])
-    shards = max(1, math.ceil(rows.count() / len(kinds) / shard_pieces))
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part_no", "tokens"), F.lit(shards)))
-    packed = sharded.groupBy("container_id", "shard").applyInPandas(_pack(linear, quadratic), ASSIGNMENT)
+    sizes = materialize(document_sizes(docs, doc_id, text, n_tokens), "document-sizes")
+    packed = None
+    for kinds in _blocks(usable, CONTAINERS_AT_ONCE):
+        rows = pieces(sizes, [(r[0], r[1]) for r in kinds])
+        shards = max(1, math.ceil(rows.count() / len(kinds) / shard_pieces))
+        sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part_no", "tokens"), F.lit(shards)))
+        block = sharded.groupBy("container_id", "shard").applyInPandas(_pack(linear, quadratic), ASSIGNMENT)
+        packed = block if packed is None else packed.unionByName(block)
+    if packed is None:
+        packed = docs.sparkSession.createDataFrame([], ASSIGNMENT)
     return packed.withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
+def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
+    """The rows in lists of at most `size`, one partition at a time on the driver."""
+    it = rows.toLocalIterator()
+    while block := list(islice(it, size)):
+        yield block
+
+
 def fill_report(assignment: DataFrame) -> DataFrame:
     """(container_id, n_sequences, n_tokens, fill): how full the sequences of each container are."""
     per_seq = assignment.groupBy("container_id", "shard", "seq_no", "capacity").agg(F.sum("n_tokens").alias("t"))
     return per_seq.groupBy("container_id").agg(
         F.count(F.lit(1)).alias("n_sequences"), F.sum("t").alias("n_tokens"), (F.sum("t") / F.sum("capacity")).alias("fill")
     )
+
+
+def packing_summary(assignment: DataFrame) -> DataFrame:
+    """(container_id, doc_id, n_parts, n_tokens, whole, fits): per document and container its pieces put together.
+
+    whole: all parts 0 to n_parts - 1 are there once; fits: none of their sequences holds more than the capacity, and a
+    document is cut only if it must be.
+    """
+    sequence = ["container_id", "shard", "seq_no"]
+    loads = assignment.groupBy(*sequence).agg(F.sum("n_tokens").alias("_load"))
+    rows = assignment.join(loads, sequence)
+    return rows.groupBy("container_id", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_parts"),
+        F.sum("n_tokens").alias("n_tokens"),
+        ((F.count(F.lit(1)) == F.max("n_parts")) & (F.countDistinct("part_no") == F.max("n_parts")) & (F.max("part_no") == F.max("n_parts") - 1)).alias("whole"),
+        (F.bool_and(F.col("_load") <= F.col("capacity")) & ((F.max("n_parts") == 1) | (F.sum("n_tokens") > F.max("capacity")))).alias("fits"),
+    )

@@ -10,30 +10,38 @@ from termforge.operators import reference_tables as ref
 from termforge.session import table
 
 RARE_DOCS, COMMON_SHARE = 2, 0.1
+CONCENTRATED = distinctive.Concentrated(tf=4, per_cent=8, least_df=3, most_df=30)
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = distinctive.distinctive_terms(distinctive.record_postings(table(spark, d, "run")))
-    exact = (F.col("tf") >= 4) & (F.col("tf") * 100 >= F.col("dl") * 8) & F.col("df").between(3, 30)
-    return scored.where(F.col("z").isNotNull() & exact).select("docid", "term")
-
-
-def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = distinctive.distinctive_terms(
+def _scored(spark: SparkSession, d: str, only: distinctive.Concentrated | None = None) -> DataFrame:
+    return distinctive.distinctive_terms(
         distinctive.record_postings(table(spark, d, "run")),
         ref.newest_doc_lengths(table(spark, d, "doc_lengths")),
         ref.term_df(table(spark, d, "lexicon")),
+        only=only,
     )
-    return scored.select("docid", "term", F.round("z", 6).alias("z"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The z-score selects; its threshold follows from the conditions, which are checked on what it leaves."""
+    return _scored(spark, d, CONCENTRATED).where(CONCENTRATED.exact()).select("docid", "term")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("docid", "term", F.round("z", 6).alias("z"))
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    counts = term_counts.collection_counts(table(spark, d, "run"), table(spark, d, "run_files"))
+    return term_counts.TermCounts.open(spark, counts.path).marked(RARE_DOCS, COMMON_SHARE)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = term_counts.collection_counts(table(spark, d, "run"))
-    return counts.marked(RARE_DOCS, COMMON_SHARE).where(F.col("mark").isNotNull()).select("term", "mark")
+    return _counts(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return term_counts.collection_counts(table(spark, d, "run")).marked(RARE_DOCS, COMMON_SHARE)
+    return _counts(spark, d)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,11 +70,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d)
+    """What must hold of every document's pieces, from the packing itself."""
+    return packing.packing_summary(_packed(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, d))
+    """Totals of each container, and whether its sequences are at most 5 % more than the tokens fill."""
+    report = packing.fill_report(_packed(spark, d))
+    return report.select("container_id", "n_tokens", (F.col("fill") >= 0.95).alias("well_filled"))
+
+
+def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The packing as it is."""
+    return _packed(spark, d)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +90,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    judged = repetition.reject_repetitive(table(spark, d, "documents"))
-    return judged.where(F.col("rejected") & (F.col("n_repeated") * 10 >= F.col("n_words") * 3)).select("doc_id")
+    """The certified cutoffs select; the exact share is checked on what they leave."""
+    judged = repetition.reject_repetitive(table(spark, d, "documents"), asked=repetition.SHARE)
+    return judged.where(F.col("rejected") & (F.col("n_repeated") * 10 >= F.col("n_words") * 3) & (F.col("n_words") > 0)).select("doc_id")
+
+
+def p10_certificates(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.certificate_report(table(spark, d, "documents"))
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +115,11 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_assignment": p8_assignment,
     "p8_fill": p8_fill,
+    "p8_sequences": p8_sequences,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
+    "p10_certificates": p10_certificates,
 }
 
 _POSTINGS = """
@@ -116,6 +139,9 @@ c AS (SELECT row_id, CASE WHEN len(parts) >= 3 AND len(list_filter(parts, lambda
     ELSE array_to_string(ws, ' ') END AS canonical FROM w WHERE len(ws) > 0),
 g AS (SELECT row_id AS copy_row_id, min(row_id) OVER (PARTITION BY canonical) AS row_id FROM c)
 """
+_SIZES = r"""
+WITH s AS (SELECT doc_id, coalesce(n_tokens, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]+'))) AS n FROM documents)
+"""
 
 ORACLE = {
     "p1_found": _POSTINGS + """SELECT docid, term FROM p JOIN d USING (docid) JOIN t USING (term)
@@ -130,9 +156,11 @@ SELECT docid, term, round((ln((tf + a) / (dl + 1000.0 - tf - a)) - ln((cf - tf +
     "p5_groups": _CANONICAL
     + """, k AS (SELECT row_id, text FROM collection_rows)
 SELECT g.row_id, count(*) AS n_copies, count(DISTINCT k.text) AS n_variants FROM g JOIN k ON k.row_id = g.copy_row_id GROUP BY g.row_id""",
-    "p8_found": r"""
-WITH s AS (SELECT doc_id, coalesce(n_tokens, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]+'))) AS n FROM documents)
-SELECT container_id, doc_id FROM s JOIN containers ON n > capacity""",
+    "p8_found": _SIZES + "SELECT container_id, doc_id FROM s JOIN containers ON n > capacity",
+    "p8_assignment": _SIZES + """SELECT CAST(container_id AS BIGINT) AS container_id, doc_id, CAST(ceil(n / capacity) AS BIGINT) AS n_parts, CAST(n AS BIGINT) AS n_tokens,
+  true AS whole, true AS fits FROM s, containers WHERE n > 0""",
+    "p8_fill": _SIZES + """SELECT CAST(container_id AS BIGINT) AS container_id, CAST(sum(n) AS BIGINT) AS n_tokens, true AS well_filled
+FROM s, containers WHERE n > 0 GROUP BY container_id""",
     "p9_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 j AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),

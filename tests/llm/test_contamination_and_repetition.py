@@ -125,22 +125,59 @@ def test_bound_covers():
 def test_certified_cutoffs(spark):
     rng = random.Random(2)
     rows = [(s, rng.random() * (0.28 if s else 0.12), False) for s in (0, 1) for _ in range(1500)] + [(0, 0.9, True)] * 50 + [(2, 0.2, False)] * 5 + [(0, None, False), (0, 0.4, None)]
-    got = R.certified_cutoffs(spark.createDataFrame(rows, "stratum int, share double, is_repetitive boolean"))
-    assert got == {0: 0.15, 1: 0.30, 2: 0.30}
-    assert R.certified_cutoffs(spark.createDataFrame([], "stratum int, share double, is_repetitive boolean")) == {0: 0.3, 1: 0.3, 2: 0.3}
+    schema = "stratum int, share double, is_repetitive boolean"
+    got = R.certificates(spark.createDataFrame(rows, schema))
+    assert [(c.stratum, c.n_good, c.cutoff) for c in got] == [(0, 1500, 0.15), (1, 1500, 0.30), (2, 5, None)]
+    assert all(c.bound <= R.RISK for c in got[:2]) and got[2].bound > R.RISK
+    assert [(c.n_good, c.cutoff) for c in R.certificates(spark.createDataFrame([], schema))] == [(0, None)] * 3
 
 
-def test_rejection_never_misses_the_defined_share(spark):
+def test_certified_risk_holds(spark):
+    """Good documents whose shares straddle every cutoff: in at most `error` of the holdouts may a certified cutoff reject more than the risk."""
+    rng = np.random.default_rng(4)
+    rows = [(trial, float(rng.beta(1, 9)), False) for trial in range(60) for _ in range(300)]
+    got = R.certificates(spark.createDataFrame(rows, "stratum int, share double, is_repetitive boolean"), strata=60, error=60 * 0.05)
+    tail = lambda c: (1 - c) ** 9
+    assert sum(c.cutoff is not None and tail(c.cutoff) > R.RISK for c in got) <= 3
+
+
+def test_labels_know_repeats_without_counting_them():
+    rng = random.Random(9)
+    fresh = " ".join(str(rng.randrange(3000)) for _ in range(400))
+    assert R.order_saving(fresh) < R.SAVING < R.order_saving(fresh + " " + fresh) and R.order_saving("spam! " * 300 + fresh) < 1
+    assert [R.order_saving(t) for t in (None, "", "one")] == [0.0] * 3
+    assert R.order_saving(fresh) == R.order_saving(fresh.upper())
+
+
+def texts_with_repeats(n=600, most=0.5):
     rng = random.Random(3)
-    texts = []
-    for i in range(600):
+    for i in range(n):
         w = [str(rng.randrange(10_000)) for _ in range(rng.choice([20, 150, 1200]))]
-        k = rng.randrange(len(w) // 2)
-        texts.append((i, " ".join(w + w[:k])))
+        k = rng.randrange(int(len(w) * most))
+        yield i, " ".join(w + w[:k])
+
+
+def test_rejection_never_misses_the_asked_share(spark):
+    texts = list(texts_with_repeats())
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    judged = R.reject_repetitive(df)
+    judged = R.reject_repetitive(df, asked=R.SHARE)
     want = {i for i, t in texts if repeated(B.words(t)) * 10 >= 3 * len(B.words(t))}
     assert {r["doc_id"] for r in judged.where("share >= 0.3").collect()} == want
     assert want <= {r["doc_id"] for r in judged.where("rejected").collect()}
     labels = df.selectExpr("doc_id", "true as is_repetitive")
-    assert {r["cutoff"] for r in R.reject_repetitive(df, labels=labels).select("cutoff").distinct().collect()} == {0.3}
+    none = R.reject_repetitive(df, labels=labels)
+    assert none.where("rejected").count() == 0 and none.where("cutoff IS NOT NULL OR certified").count() == 0
+    asked = R.reject_repetitive(df, labels=labels, asked=0.3)
+    assert {(r["cutoff"], r["certified"]) for r in asked.select("cutoff", "certified").distinct().collect()} == {(0.3, False)}
+
+
+def test_cutoffs_select_on_both_sides_of_the_asked_share(spark):
+    """Labels that call much repetition good push the cutoff up, labels that call little of it bad pull it down."""
+    df = spark.createDataFrame(list(texts_with_repeats(900, 1.0)), "doc_id bigint, text string")
+    shares = R.repetition(df)
+    for limit, low, high in ((0.4, 0.4, 0.4), (0.12, 0.15, 0.15)):
+        labels = shares.selectExpr("doc_id", f"share >= {limit} as is_repetitive")
+        got = [r["cutoff"] for r in R.reject_repetitive(df, labels=labels).select("cutoff").distinct().collect()]
+        assert all(c is None or low <= c <= high for c in got) and any(c is not None for c in got)
+    report = R.certificate_report(df).collect()
+    assert [r["stratum"] for r in report] == [0, 1, 2] and all(r["cutoff"] is None or r["bound"] <= R.RISK for r in report)

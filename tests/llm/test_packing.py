@@ -4,7 +4,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pytest
 
 from termforge.llm import packing as P
 
@@ -82,5 +81,19 @@ def test_empty_and_limits(spark):
     kinds = spark.createDataFrame([(1, 8)], "container_id int, capacity int")
     assert P.pack_documents(e, kinds).count() == 0
     assert P.pack_documents(spark.createDataFrame(documents(5), SCHEMA), kinds.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        P.pack_documents(e, spark.range(P.MOST_CONTAINERS + 1).selectExpr("id as container_id", "8 as capacity"))
+
+
+def test_more_containers_than_a_block(spark):
+    kinds = spark.range(1100).selectExpr("id as container_id", "cast(8 + id % 3 as int) as capacity")
+    docs = spark.createDataFrame(documents(8), SCHEMA)
+    out = P.packing_summary(P.pack_documents(docs, kinds))
+    size = {i: s for i, s in sizes(documents(8)).items() if s}
+    got = {(r["container_id"], r["doc_id"]): (r["n_parts"], r["n_tokens"], r["whole"], r["fits"]) for r in out.collect()}
+    assert got == {(k, i): (math.ceil(s / (8 + k % 3)), s, True, True) for k in range(1100) for i, s in size.items()}
+
+
+def test_summary_tells_bad_packings(spark):
+    fine = [(1, 0, 0, "a", 0, 1, 5, 10), (1, 0, 1, "b", 0, 2, 10, 10), (1, 0, 2, "b", 1, 2, 2, 10)]
+    bad = [(2, 0, 0, "a", 0, 1, 6, 10), (2, 0, 0, "c", 0, 1, 6, 10), (2, 0, 1, "b", 0, 2, 10, 10), (2, 0, 2, "d", 0, 2, 3, 10), (2, 0, 3, "d", 1, 2, 3, 10)]
+    got = {(r["container_id"], r["doc_id"]): (r["whole"], r["fits"]) for r in P.packing_summary(spark.createDataFrame(fine + bad, P.ASSIGNMENT)).collect()}
+    assert got == {(1, "a"): (True, True), (1, "b"): (True, True), (2, "a"): (True, False), (2, "c"): (True, False), (2, "b"): (False, False), (2, "d"): (True, False)}
