@@ -66,7 +66,7 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, o
     a = parser().parse_args(args)
     spark = spark or SparkSession.getActiveSession() or local_session()
     if a.command == "index":
-        i = ix.write_index(ix.of_documents(_documents(spark, a.source, a.docids)), a.out)
+        i = ix.build_documents(_documents(spark, a.source, a.docids), a.out)
         said = f"{i.n_docs} documents, average length {i.avgdl:.3f}, build {i.build_id}"
     elif a.command == "search":
         rows = rt.search_topk(ix.open_index(spark, a.index), a.query, a.topk, mode=a.mode).collect()

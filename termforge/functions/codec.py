@@ -77,6 +77,25 @@ def unvarbyte(data: pd.Series) -> pd.Series:
     return data.map(varbyte_decode, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def block_docids(data: pd.Series, first: pd.Series) -> pd.Series:
+    """Bytes of a block's gaps, and its first docid -> its docids."""
+    gaps = data.map(varbyte_decode, na_action="ignore")
+    return pd.Series([None if g is None else np.concatenate([[f], docids_of(g[1:], f)]) for g, f in zip(gaps, first, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def raw(numbers: pd.Series) -> pd.Series:
+    """array<bigint> -> bytes, four a number."""
+    return numbers.map(raw_encode, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def unraw(data: pd.Series) -> pd.Series:
+    """bytes -> array<bigint>."""
+    return data.map(raw_decode, na_action="ignore")
+
+
 def varbyte_size(x: Column) -> Column:
     """Bytes one non-negative number takes."""
     size = F.lit(1)

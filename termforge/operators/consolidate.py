@@ -16,25 +16,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termforge.operators.skew import least_share
+from termforge.session import materialize
 
 RECORD = ("term", "docid", "chunk_no", "tf")
 # A record is taken for hot if it comes up in the sample half as often as one holding a task's share of the rows would.
 SAMPLED, SUSPECT = 100, 50
 
 
+def sampled(rows: DataFrame, n_rows: int) -> DataFrame:
+    """A sample of about SAMPLED rows per task, all of a small table."""
+    wanted = SAMPLED * least_share(rows.sparkSession)
+    return rows.sample(wanted / n_rows, seed=11) if n_rows > wanted else rows
+
+
 def hot_records(live: DataFrame, record: Sequence[str], n_rows: int) -> list[int]:
-    """Hashes of records that seem to hold a task's share of the rows or more, from a sample of SAMPLED rows per task.
+    """Hashes of records that seem to hold a task's share of the rows or more, from a sample.
 
     At most SAMPLED / SUSPECT hashes per task are collected. They only decide which of two exact ways a record takes.
     """
-    share = least_share(live.sparkSession)
-    if n_rows <= SAMPLED * share:
+    if n_rows <= SAMPLED * least_share(live.sparkSession):
         return []
-    sample = live.sample(SAMPLED * share / n_rows, seed=11).select(F.xxhash64(*record).alias("h"))
+    return suspects(sampled(live, n_rows).select(F.xxhash64(*record).alias("h")))
+
+
+def suspects(sample: DataFrame) -> list[int]:
+    """The hashes (h) that come up too often in a sample."""
     return [r[0] for r in sample.groupBy("h").count().where(F.col("count") >= SUSPECT).select("h").collect()]
 
 
-def merge_runs(run: DataFrame, record: Sequence[str] = RECORD, source: str = "file_id", ranges: int | None = None) -> DataFrame:
+def merge_runs(
+    run: DataFrame, record: Sequence[str] = RECORD, source: str = "file_id", ranges: int | None = None, hot: list[int] | None = None
+) -> DataFrame:
     """Rows (record..., source, n_copies, n_total, repeat) in disjoint record ranges, ordered by record.
 
     One row per record and source; n_copies says how often the source repeats the record. Where repeat is false
@@ -44,10 +56,10 @@ def merge_runs(run: DataFrame, record: Sequence[str] = RECORD, source: str = "fi
 
     One shuffle: rows go to their range straight from the scan, and are combined there. Records that hold a task's share
     of the rows are combined map-side before, so only their first row takes part in the merge; their
-    repeats follow unordered.
+    repeats follow unordered. `hot` is what hot_records finds, where that is known.
     """
     live = run.where(F.col(record[0]).isNotNull()).select(*record, source)
-    hot = hot_records(live, record, run.count())
+    hot = hot_records(live, record, run.count()) if hot is None else hot
     rows = live.withColumn("n_copies", F.lit(1).cast("bigint")).withColumn("_others", F.lit(0).cast("bigint"))
     repeats = None
     if hot:
@@ -93,8 +105,8 @@ def consolidate(
 ) -> DataFrame:
     """Write the records of all runs into few files at `path`, ordered by record; return their ranges.
 
-    Output files hold disjoint, ascending key ranges and about `target_bytes` (estimated, before
-    encoding) each: the number of ranges follows from the measured bytes, and a range that
+    Output files hold disjoint, ascending key ranges and about `target_bytes` (before
+    encoding) each: the number of ranges follows from the number of rows and their size in a sample, and a range that
     came out too large rolls over into a further file. Each distinct record is written once;
     keep_duplicates writes it as often as the runs hold it. What the runs delivered again is kept apart (see
     consolidated and merged_rows), so a run can still be accounted for. Returned range metadata, read back
@@ -102,14 +114,16 @@ def consolidate(
     an empty table and returns no rows.
     """
     spark = run.sparkSession
+    n_rows = run.count()
     live = run.where(F.col(record[0]).isNotNull())
-    size = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(record_bytes(record, run)), F.lit(0)).alias("b")).first()
-    ranges = max(1, math.ceil(size["b"] / target_bytes))
-    out = merge_runs(run, record, source, ranges)
+    sample = materialize(sampled(live, n_rows).select(F.xxhash64(*record).alias("h"), record_bytes(record, run).alias("b")), "sample")
+    a_row = sample.agg(F.avg("b")).first()[0] or 1.0
+    ranges = max(1, math.ceil(n_rows * a_row / target_bytes))
+    out = merge_runs(run, record, source, ranges, suspects(sample) if n_rows > SAMPLED * least_share(spark) else [])
     if keep_duplicates:
         again = F.when(F.col("repeat"), 1).otherwise(F.col("n_total")).cast("int")
         out = out.withColumn("_again", F.explode(F.sequence(F.lit(1), again))).drop("_again")
-    per_file = max(1, int(1.25 * target_bytes * size["n"] / max(1, size["b"])))
+    per_file = max(1, int(1.25 * target_bytes / a_row))
     out.sortWithinPartitions("repeat", *record).write.option("maxRecordsPerFile", per_file).partitionBy("repeat").mode("overwrite").parquet(path)
     return file_ranges(consolidated(spark, path, run.schema, record), record)
 

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.functions.codec import varbyte_size
+from termforge.functions.codec import block_docids, raw, unraw, unvarbyte, varbyte, varbyte_size
 from termforge.functions.text import HAVE_REPAIR, index_tokens, repair_text, unescape
-from termforge.operators.ranges import numbered
+from termforge.operators.ranges import numbered, numbered_ranges, range_starts
+from termforge.operators.skew import hot_keys, salted_lookup
+from termforge.session import materialize
 
 BLOCK = 128
+ENCODERS = {"varbyte": varbyte, "raw": raw}
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repair: bool = False) -> DataFrame:
@@ -71,20 +74,21 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
 
 
-def blocked(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
+def blocked(p: DataFrame, block_size: int = BLOCK, starts: DataFrame | None = None) -> DataFrame:
     """Postings with block_no and gap (distance to the term's previous docid, to 0 for the first).
 
-    Gaps run on across blocks. Postings are numbered by ranges, so a frequent term isn't one task's.
+    Gaps run on across blocks. Postings are numbered by ranges, so a frequent term isn't one task's. Postings of a written
+    index lie in ranges already (_range); `starts` are what it stores of them.
     """
-    rows = numbered(p, ["term"], "doc_id")
+    rows = numbered_ranges(p, ["term"], "doc_id", starts).drop("_range") if "_range" in p.columns else numbered(p, ["term"], "doc_id")
     block = F.floor(F.col("_no") / block_size).cast("int")
     return rows.withColumn("block_no", block).withColumn("gap", F.col("doc_id") - F.coalesce("_prev", F.lit(0))).drop("_no", "_prev")
 
 
-def block_directory(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
+def block_directory(p: DataFrame, block_size: int = BLOCK, starts: DataFrame | None = None) -> DataFrame:
     """(term, block_no, n, first_docid, last_docid, doc_bytes, freq_bytes, raw_bytes) of each block."""
     return (
-        blocked(p, block_size)
+        blocked(p, block_size, starts)
         .groupBy("term", "block_no")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -97,25 +101,48 @@ def block_directory(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
     )
 
 
-def block_lexicon(p: DataFrame, block_size: int = BLOCK, codec: str = "varbyte") -> DataFrame:
-    """(term, df, nblocks, codec, blocks): a lexicon entry with the sizes and last docids of its blocks."""
-    d = block_directory(p, block_size)
-    doc = F.col("doc_bytes") if codec == "varbyte" else F.col("n") * 4
-    freq = F.col("freq_bytes") if codec == "varbyte" else F.col("n") * 4
-    entry = F.struct("block_no", doc.alias("doc_bytes"), freq.alias("freq_bytes"), "last_docid")
-    return d.groupBy("term").agg(
-        F.sum("n").alias("df"), F.count(F.lit(1)).alias("nblocks"), F.lit(codec).alias("codec"), F.array_sort(F.collect_list(entry)).alias("blocks")
+def block_lexicon(directory: DataFrame, codec: str = "varbyte") -> DataFrame:
+    """(term, df, nblocks, codec, last_docid, bytes): a term's entry, from the directory of its blocks.
+
+    The entries of single blocks stay in the directory, a row each, as a frequent term has too many for one cell.
+    """
+    size = F.col("doc_bytes") + F.col("freq_bytes") if codec == "varbyte" else F.col("raw_bytes")
+    return directory.groupBy("term").agg(
+        F.sum("n").alias("df"), F.count(F.lit(1)).alias("nblocks"), F.lit(codec).alias("codec"), F.max("last_docid").alias("last_docid"), F.sum(size).alias("bytes")
     )
 
 
+def encoded_blocks(blocks: DataFrame, codec: str = "varbyte") -> DataFrame:
+    """(term, block_no, n, first_docid, last_docid, codec, doc_data, freq_data) of blocked postings.
+
+    varbyte holds gaps, the first to the docid before the block; raw holds docids. A block is a bounded list.
+    """
+    if codec not in ENCODERS:
+        raise ValueError(f"unknown codec {codec!r}")
+    encode = ENCODERS[codec]
+    entry = F.sort_array(F.collect_list(F.struct("doc_id", "gap", "tf")))
+    b = blocks.groupBy("term", "block_no").agg(entry.alias("_e"))
+    docs = F.transform("_e", lambda x: x["gap"] if codec == "varbyte" else x["doc_id"])
+    return b.select(
+        "term", "block_no", F.size("_e").alias("n"), F.element_at("_e", 1)["doc_id"].alias("first_docid"), F.element_at("_e", -1)["doc_id"].alias("last_docid"),
+        F.lit(codec).alias("codec"), encode(docs).alias("doc_data"), encode(F.transform("_e", lambda x: x["tf"])).alias("freq_data"),
+    )
+
+
+def decoded_blocks(encoded: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of encoded blocks of either codec. A block stands for itself: gaps are laid out from its first docid."""
+    small = encoded.where(F.col("codec") == "varbyte").select("term", block_docids("doc_data", "first_docid").alias("_d"), unvarbyte("freq_data").alias("_f"))
+    plain = encoded.where(F.col("codec") == "raw").select("term", unraw("doc_data").alias("_d"), unraw("freq_data").alias("_f"))
+    pairs = small.unionByName(plain).select("term", F.explode(F.arrays_zip("_d", "_f")).alias("_x"))
+    return pairs.select("term", F.col("_x")["_d"].alias("doc_id"), F.col("_x")["_f"].alias("tf"))
+
+
 def term_offsets(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """(term, byte_offset): where a term's list would start in one file in term order, raw codec.
 
     Two-level running sum: range-partitioned terms are summed inside their range, ranges by the
     few rows of their totals, so no task sees all terms.
     """
-    from termforge.session import materialize
-
     laid = materialize(
         lexicon(p).select("term", (F.col("df") * 8).alias("bytes")).repartitionByRange("term").withColumn("range_no", F.spark_partition_id()), "term-ranges"
     )
@@ -128,14 +155,43 @@ def term_offsets(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
 
 @dataclass
 class Index:
-    """Postings, lengths and lexicon of one build, with N and avgdl computed once."""
+    """Postings, lengths and lexicon of one build, with N and avgdl computed once.
 
-    postings: DataFrame
+    rows are the postings with what a written index keeps beside them: the document's length (dl), and the range they lie
+    in (_range). starts and directory are what it stores of ranges and blocks.
+    """
+
+    rows: DataFrame
     doc_lengths: DataFrame
     lexicon: DataFrame
     n_docs: int
     avgdl: float
     build_id: str = ""
+    starts: DataFrame | None = None
+    directory: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.select("term", "doc_id", "tf")
+
+    def with_lengths(self) -> DataFrame:
+        """(term, doc_id, tf, dl); dl is null for a document without a length."""
+        if "dl" in self.rows.columns:
+            return self.rows.select("term", "doc_id", "tf", "dl")
+        return self.postings.join(self.doc_lengths, "doc_id", "left")
+
+    def blocks(self) -> DataFrame:
+        """The block directory: the stored one, or that of the postings."""
+        return block_directory(self.postings) if self.directory is None else self.directory
+
+    def blocked(self, term: str | None = None) -> DataFrame:
+        """Postings with block_no and gap, of all terms or of one; a literal term reaches the scan."""
+        if self.starts is None:
+            return blocked(self.postings if term is None else self.postings.where(F.col("term") == term))
+        rows, starts = self.rows.select("term", "doc_id", "tf", "_range"), self.starts
+        if term is not None:
+            rows, starts = rows.where(F.col("term") == term), starts.where(F.col("_key0") == term)
+        return blocked(rows, BLOCK, starts)
 
 
 def of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_empty: bool = True) -> Index:
@@ -145,29 +201,78 @@ def of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     return Index(p, lengths, lexicon(p), s["n_docs"], s["avgdl"] or 0.0)
 
 
-def of_run(run: DataFrame) -> Index:
-    """Index of a run table: distinct records summed, lengths from its postings."""
+def run_postings(run: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of a run table: frequencies summed over distinct records; a null tf adds nothing."""
     live = run.where(F.col("term").isNotNull() & F.col("docid").isNotNull())
     rec = live.select("term", F.col("docid").alias("doc_id"), "chunk_no", "tf").distinct()
-    p = rec.groupBy("term", "doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+    return rec.groupBy("term", "doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+
+
+def of_run(run: DataFrame) -> Index:
+    """Index of a run table, lengths from its postings."""
+    p = run_postings(run)
     lengths = lengths_from_postings(p)
     s = corpus_stats(lengths).first()
     return Index(p, lengths, lexicon(p), s["n_docs"], s["avgdl"] or 0.0)
 
 
+def build_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep_empty: bool = True) -> Index:
+    """Build and open the index of documents: texts are tokenized once."""
+    tokens = materialize(tokenized(docs, doc_id, text), "tokens")
+    return write_postings(postings(tokens), path, doc_lengths(tokens, keep_empty))
+
+
+def build_run(run: DataFrame, path: str) -> Index:
+    """Build and open the index of a run table."""
+    return write_postings(run_postings(run), path)
+
+
 def write_index(index: Index, path: str) -> Index:
-    """Write an index as Parquet and open it: postings in term ranges sorted by (term, doc_id), so a
-    literal term filter prunes row groups; all tables carry one build id and can't be mixed."""
-    spark = index.postings.sparkSession
+    """Write an index and open it; all its tables are derived from its postings and lengths."""
+    return write_postings(index.postings, path, index.doc_lengths)
+
+
+def write_postings(p: DataFrame, path: str, lengths: DataFrame | None = None) -> Index:
+    """Write the index of postings (term, doc_id, tf) as Parquet and open it.
+
+    `lengths` (doc_id, dl) default to the sums of the postings. The postings are computed once; lengths, lexicon and
+    statistics are derived from their files. They come to lie in term ranges, sorted by (term, doc_id), so a
+    literal term filter prunes row groups, each with its document's length, and the directory of their
+    blocks is kept beside them. All tables carry one build id and can't be mixed.
+    """
+    spark = p.sparkSession
     build = uuid.uuid4().hex
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
-    index.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
-    spark.createDataFrame([(build, index.n_docs, float(index.avgdl))], "build_id string, n_docs bigint, avgdl double").write.mode("overwrite").parquet(f"{path}/stats")
+    base = materialize(p, "base-postings")
+    _write(lengths_from_postings(base) if lengths is None else lengths, f"{path}/doc_lengths")
+    dl = spark.read.parquet(f"{path}/doc_lengths")
+    sizes = materialize(base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms")), "terms-of-documents")
+    measured = salted_lookup(base, dl, "doc_id", hot_keys(sizes, "doc_id", "n_terms"), ["term"], "left")
+    measured = materialize(measured.select("term", "doc_id", "tf", "dl"), "measured-postings")  # range bounds are sampled from it
+    ranged = measured.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    _write(ranged.withColumn("_range", F.spark_partition_id()), f"{path}/postings")
+    laid = spark.read.parquet(f"{path}/postings")
+    _write(range_starts(laid, ["term"], "doc_id"), f"{path}/starts")
+    directory = block_directory(laid.drop("dl"), BLOCK, spark.read.parquet(f"{path}/starts"))
+    _write(directory.repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no"), f"{path}/blocks")
+    # a block's rows tell a term's documents, its occurrences need the postings
+    _write(lexicon(laid), f"{path}/lexicon")
+    s = corpus_stats(dl).first()
+    _write(spark.createDataFrame([(build, s["n_docs"], float(s["avgdl"] or 0.0))], "build_id string, n_docs bigint, avgdl double"), f"{path}/stats")
     return open_index(spark, path)
 
 
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    return Index(read("postings"), read("doc_lengths"), read("lexicon"), s["n_docs"], s["avgdl"], s["build_id"])
+    return Index(read("postings"), read("doc_lengths"), read("lexicon"), s["n_docs"], s["avgdl"], s["build_id"], read("starts"), read("blocks"))
+
+
+def write_blocks(index: Index, path: str, codec: str = "varbyte") -> DataFrame:
+    """Write the postings as encoded blocks, ordered by term and block, and return them; see encoded_blocks."""
+    blocks = materialize(encoded_blocks(index.blocked(), codec), "encoded-blocks")
+    _write(blocks.repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no"), path)
+    return blocks.sparkSession.read.parquet(path)

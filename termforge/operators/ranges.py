@@ -19,12 +19,16 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     within a key; among equals the numbers are arbitrary. keys may be empty.
     """
     laid = materialize(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "numbered-ranges")
+    return numbered_ranges(laid, keys, order).drop("_range")
+
+
+def numbered_ranges(laid: DataFrame, keys: Sequence[str], order: str, starts: DataFrame | None = None) -> DataFrame:
+    """numbered() of rows that lie in ranges of (keys, order) already, told apart by an ascending _range, which is kept.
+
+    `starts` is what range_starts gives for them, where it is stored.
+    """
     names = [f"_key{i}" for i in range(len(keys))]
-    per = laid.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_r")).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(order).alias("_max")
-    )
-    earlier = (Window.partitionBy(*names) if names else Window).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select(*names, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.max("_max").over(earlier).alias("_before"))
+    starts = range_starts(laid, keys, order) if starts is None else starts
     same = laid["_range"] == starts["_r"]
     for k, n in zip(keys, names, strict=True):
         same = same & laid[k].eqNullSafe(starts[n])
@@ -32,4 +36,14 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     joined = laid.join(starts, same)
     out = joined.withColumn("_no", F.col("_start") + F.row_number().over(inside) - 1)
     out = out.withColumn("_prev", F.coalesce(F.lag(order).over(inside), F.col("_before")))
-    return out.drop("_range", "_r", "_start", "_before", *names)
+    return out.drop("_r", "_start", "_before", *names)
+
+
+def range_starts(laid: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(_key0..., _r, _start, _before) per key and range: how many rows of the key earlier ranges hold, and the last of them."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    per = laid.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(order).alias("_max")
+    )
+    earlier = (Window.partitionBy(*names) if names else Window).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*names, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.max("_max").over(earlier).alias("_before"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termforge.operators.ranges import numbered
+
 
 def membership(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, side) of keys in one table only: left or right. Null keys don't count."""
@@ -45,22 +47,18 @@ def report(index_lengths: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def latency_summary(samples: DataFrame, value: str) -> DataFrame:
     """(n, mean, p50, p95, max) of a sample: exact percentiles, p95 by the exclusive method, the maximum for
-    fewer than 20 values. Nulls don't count; an empty sample gives n = 0 and nulls."""
-    from termforge.operators.skew import compress_values
-
-    ordered = compress_values(samples.select(F.lit(0).alias("k"), F.col(value).alias("v")).where(F.col("v").isNotNull()), "k", "v")
-    s = ordered.agg(
-        F.sum("_weight").alias("n"),
-        (F.sum(F.col("v") * F.col("_weight")) / F.sum("_weight")).alias("mean"),
-        F.expr("percentile(v, 0.5, _weight)").alias("p50"),
-        F.max("v").alias("max"),
-        F.expr("percentile(v, array(0.0, 0.95, 1.0), _weight)").alias("_p"),
-        F.sum("_weight").alias("_n"),
-    )
-    # exclusive rank r = 0.95 (n + 1), as an inclusive position (r - 1) / (n - 1)
-    n = s.first()["n"] or 0
-    if n < 20:
-        return s.select(F.coalesce("n", F.lit(0)).alias("n"), "mean", "p50", F.col("max").alias("p95"), "max")
-    q = min(1.0, (0.95 * (n + 1) - 1) / (n - 1))
-    p95 = ordered.agg(F.expr(f"percentile(v, {q}D, _weight)").alias("p95"))
-    return s.select("n", "mean", "p50", p95.scalar().alias("p95"), "max")
+    fewer than 20 values. Nulls don't count; an empty sample gives n = 0 and nulls.
+
+    Values are numbered by ranges, so no task sorts them all.
+    """
+    placed = numbered(samples.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull()), [], "v")
+    n = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    last = n - 1
+
+    def at(place: Column) -> Column:
+        """The value at a place from 0, between two values where it isn't whole."""
+        low, high = (F.max(F.when(F.col("_no") == f, F.col("v"))) for f in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * (place - F.floor(place))
+
+    p95 = F.when(n < 20, F.max("v")).otherwise(at(F.least(0.95 * (n + 1) - 1, last)))
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), at(last * 0.5).alias("p50"), p95.alias("p95"), F.max("v").alias("max"))

@@ -14,7 +14,7 @@ from termforge.operators import reference_tables as ref
 from termforge.operators import retrieval as rt
 from termforge.operators import verify
 from termforge.service import response_rows
-from termforge.session import scratch_path, table
+from termforge.session import files_state, materialize, scratch_path, table
 from termforge.sources import corpus
 
 
@@ -31,14 +31,14 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return ix.postings(_tokens(spark, d))
 
 
-_open: dict[tuple[str, str], ix.Index] = {}
+_open: dict[tuple, ix.Index] = {}
 
 
 def _index(spark: SparkSession, d: str) -> ix.Index:
-    """The index of the run table, built and written once per application and folder, then opened."""
-    key = (spark.sparkContext.applicationId, d)
+    """The index of the run table, built and written once per application and state of the table's files, then opened."""
+    key = (spark.sparkContext.applicationId, files_state(spark, f"{d}/run.parquet"))
     if key not in _open:
-        _open[key] = ix.write_index(ix.of_run(table(spark, d, "run")), scratch_path(spark, "index"))
+        _open[key] = ix.build_run(table(spark, d, "run"), scratch_path(spark, "index"))
     return _open[key]
 
 
@@ -138,17 +138,16 @@ def bm25_batch_topk(spark, d):
 
 
 def block_directory(spark, d):
-    return ix.block_directory(_index(spark, d).postings)
+    return _index(spark, d).blocks()
 
 
 def block_lexicon(spark, d):
-    rows = ix.block_lexicon(_index(spark, d).postings)
-    return rows.select("term", "df", "nblocks", "codec", F.element_at("blocks", -1)["last_docid"].alias("last_docid"))
+    return ix.block_lexicon(_index(spark, d).blocks())
 
 
 def block_postings(spark, d):
     """The docids of each block of one frequent term, as text."""
-    p = ix.blocked(_index(spark, d).postings.where(F.col("term") == "the"))
+    p = _index(spark, d).blocked("the")
     return p.groupBy("term", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("docids"))
 
 
@@ -157,7 +156,7 @@ def term_offsets(spark, d):
 
 
 def seek_block_ge(spark, d):
-    return rt.seek_block_ge(ix.block_directory(_index(spark, d).postings), "the", 500).select("term", "block_no", "last_docid")
+    return rt.seek_block_ge(_index(spark, d).blocks(), "the", 500).select("term", "block_no", "last_docid")
 
 
 def cursor_next_ge(spark, d):
@@ -165,21 +164,32 @@ def cursor_next_ge(spark, d):
 
 
 def docid_gaps(spark, d):
-    return ix.blocked(_index(spark, d).postings).select("term", "doc_id", "gap")
+    return _index(spark, d).blocked().select("term", "doc_id", "gap")
 
 
 def codec_sizes(spark, d):
-    t = ix.block_directory(_index(spark, d).postings)
+    t = _index(spark, d).blocks()
     return t.agg(F.sum(F.col("doc_bytes") + F.col("freq_bytes")).alias("varbyte_bytes"), F.sum("raw_bytes").alias("raw_bytes"))
 
 
+def _block_file(spark, d, name):
+    path = scratch_path(spark, f"blocks-{name}")
+    return ix.write_blocks(_index(spark, d), path, name)
+
+
+def varbyte_blocks(spark, d):
+    """The block file: how many postings and bytes each encoded block holds."""
+    b = _block_file(spark, d, "varbyte")
+    return b.select("term", "block_no", "n", "last_docid", F.octet_length("doc_data").cast("bigint").alias("doc_bytes"), F.octet_length("freq_data").cast("bigint").alias("freq_bytes"))
+
+
 def varbyte_roundtrip(spark, d):
-    """Blocks encoded to bytes and decoded again: their numbers, and whether they came back."""
-    p = ix.blocked(_index(spark, d).postings)
-    b = p.groupBy("term", "block_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))), lambda x: x["gap"]).alias("gaps"))
-    coded = b.withColumn("data", codec.varbyte("gaps"))
-    back = coded.withColumn("same", codec.unvarbyte("data") == F.col("gaps"))
-    return back.select("term", "block_no", F.octet_length("data").cast("bigint").alias("doc_bytes"), "same")
+    """All postings, from the encoded blocks written."""
+    return ix.decoded_blocks(_block_file(spark, d, "varbyte"))
+
+
+def raw_roundtrip(spark, d):
+    return ix.decoded_blocks(_block_file(spark, d, "raw"))
 
 
 def partial_runs_merge(spark, d):
@@ -291,7 +301,7 @@ QUERIES = {
         tokenize_docs, doc_lengths, doc_lengths_nonempty, corpus_stats, postings_tf, lexicon_df_cf, lexicon_topk, collection_postings, lookup_posting_list,
         boolean_and, boolean_or, boolean_unknown_term, boolean_all_unknown, boolean_difference, boolean_intersection, bm25_and_topk, bm25_or_topk,
         bm25_repeated_terms, bm25_custom_k1_b, bm25_all_matches, bm25_batch_topk, block_directory, block_lexicon, block_postings, term_offsets, seek_block_ge,
-        cursor_next_ge, docid_gaps, codec_sizes, varbyte_roundtrip, partial_runs_merge, merge_equals_direct, merged_run, lengths_from_postings,
+        cursor_next_ge, docid_gaps, codec_sizes, varbyte_blocks, varbyte_roundtrip, raw_roundtrip, partial_runs_merge, merge_equals_direct, merged_run, lengths_from_postings,
         newest_doc_lengths, newest_lexicon, length_mismatches, membership_diff, consistency_report, corpus_explicit, corpus_ordinal,
         corpus_ordinal_skip_blank, latest_explicit_id, first_n_docs, build_totals, indexed_documents, snippets, search_response_json, sampled_queries,
         query_terms, top_documents_per_term, latency_percentiles,
@@ -361,14 +371,17 @@ s AS (SELECT qid, mode, k, n_terms, doc_id, count(*) AS c, sum(w * ln((n - df +
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE mode = 'OR' OR c = n_terms)
 SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= k""",
     "block_directory": _DIRECTORY + "SELECT * FROM dir",
-    "block_lexicon": _DIRECTORY + "SELECT term, CAST(sum(n) AS BIGINT) AS df, count(*) AS nblocks, 'varbyte' AS codec, max(last_docid) AS last_docid FROM dir GROUP BY term",
+    "block_lexicon": _DIRECTORY + """SELECT term, CAST(sum(n) AS BIGINT) AS df, count(*) AS nblocks, 'varbyte' AS codec, max(last_docid) AS last_docid,
+  CAST(sum(doc_bytes + freq_bytes) AS BIGINT) AS bytes FROM dir GROUP BY term""",
     "block_postings": _BLOCKS + "SELECT term, block_no, string_agg(doc_id, ' ' ORDER BY doc_id) AS docids FROM b WHERE term = 'the' GROUP BY ALL",
     "term_offsets": _RUN + "SELECT term, CAST(sum(df * 8) OVER (ORDER BY term ROWS UNBOUNDED PRECEDING) - df * 8 AS BIGINT) AS byte_offset FROM lex",
     "seek_block_ge": _DIRECTORY + "SELECT term, block_no, last_docid FROM dir WHERE term = 'the' AND last_docid >= 500 ORDER BY block_no LIMIT 1",
     "cursor_next_ge": _RUN + "SELECT min(doc_id) AS doc_id FROM p WHERE term = 'bright' AND doc_id >= 300",
     "docid_gaps": _BLOCKS + "SELECT term, doc_id, gap FROM b",
     "codec_sizes": _DIRECTORY + "SELECT CAST(sum(doc_bytes + freq_bytes) AS BIGINT) AS varbyte_bytes, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes FROM dir",
-    "varbyte_roundtrip": _DIRECTORY + "SELECT term, block_no, doc_bytes, true AS same FROM dir",
+    "varbyte_blocks": _DIRECTORY + "SELECT term, block_no, CAST(n AS INTEGER) AS n, last_docid, doc_bytes, freq_bytes FROM dir",
+    "varbyte_roundtrip": _RUN + "SELECT term, doc_id, tf FROM p",
+    "raw_roundtrip": _RUN + "SELECT term, doc_id, tf FROM p",
     "partial_runs_merge": _P + "SELECT term, doc_id, tf FROM p",
     "merge_equals_direct": _P + "SELECT term, doc_id, tf, 'left' AS side FROM p WHERE false",
     "merged_run": _RUN + "SELECT term, doc_id, tf FROM p",

@@ -98,6 +98,13 @@ def ship(spark: SparkSession) -> None:
     sc._termforge_shipped = True
 
 
+def files_state(spark: SparkSession, path: str) -> tuple:
+    """Path, size and time of change of each file at a path, to tell whether a table has changed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(p) if fs.exists(p) else ()))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

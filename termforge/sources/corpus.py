@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termforge.operators.ranges import numbered
 
 POLICIES = ("explicit", "ordinal", "ordinal_skip_blank")
+MALFORMED = ("drop", "replace", "fail")
+REPLACEMENT, NONCHARACTER = chr(0xFFFD), chr(0xFDD0)
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines of text files, globs allowed; malformed UTF-8 becomes U+FFFD."""
-    return spark.read.text(path)
+def sound_text(value: Column, malformed: str = "drop") -> Column:
+    """Text without malformed UTF-8: its bytes dropped, replaced by U+FFFD, or an error (fail) when they are met."""
+    if malformed == "fail":
+        return F.validate_utf8(value)
+    if malformed == "replace":
+        return F.make_valid_utf8(value)
+    if malformed != "drop":
+        raise ValueError(f"malformed must be one of {MALFORMED}")
+    # replacement characters that are meant wait as a noncharacter while malformed bytes become replacement characters
+    kept = F.replace(F.make_valid_utf8(F.replace(value, F.lit(REPLACEMENT), F.lit(NONCHARACTER))), F.lit(REPLACEMENT), F.lit(""))
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(kept, F.lit(NONCHARACTER), F.lit(REPLACEMENT)))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): lines with their dense ordinal from 0, in file order.
+def text_lines(spark: SparkSession, path: str, malformed: str = "drop") -> DataFrame:
+    """(value): the lines of text files, globs allowed; see sound_text for malformed UTF-8."""
+    return spark.read.text(path).select(sound_text(F.col("value"), malformed).alias("value"))
 
-    Numbers are dense and deterministic: lines are counted per input split, splits are offset by
-    the counts before them. That needs one pass for the counts and is the reason for the RDD.
+
+def numbered_lines(spark: SparkSession, path: str, malformed: str = "drop") -> DataFrame:
+    """(line_no, value): lines with their dense ordinal from 0, files in the order of their paths.
+
+    Lines are counted per block of a file, blocks are offset by the counts before them, and a line's place in its block is
+    the distance of its running id to the block's first. So numbering takes a scan more and one row per block, and no line
+    is shuffled.
     """
-    rdd = text_lines(spark, path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rdd, T.StructType([T.StructField("line_no", T.LongType()), T.StructField("value", T.StringType())]))
+    # the running id is that of the scan, so it comes before anything that could drop rows
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = lines.join(starts, ["_file", "_block"])
+    return placed.select((F.col("_start") + F.col("_id") - F.col("_first")).alias("line_no"), sound_text(F.col("value"), malformed).alias("value"))
 
 
 def parse_explicit(lines: DataFrame, value: str = "value") -> DataFrame:

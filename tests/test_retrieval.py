@@ -54,6 +54,9 @@ def test_parameters(index):
         rt.search_topk(index, "the", 0)
     with pytest.raises(ValueError):
         rt.boolean(index, "the", "XOR")
+    with pytest.raises(ValueError):
+        rt.search(index, "the", "XOR")
+    assert top(rt.ranked(index, "the river", "XOR")) == top(rt.ranked(index, "the river", None)) == bm25("the river", "OR")
     assert len(top(rt.search_topk(index, "the river", 1))) == 1
     assert rt.search(index, "the river", ranked_by_score=False).columns == ["doc_id"]
 
