@@ -47,40 +47,37 @@ def suspects(sample: DataFrame) -> list[int]:
 def merge_runs(
     run: DataFrame, record: Sequence[str] = RECORD, source: str = "file_id", ranges: int | None = None, hot: list[int] | None = None
 ) -> DataFrame:
-    """Rows (record..., source, n_copies, n_total, repeat) in disjoint record ranges, ordered by record.
+    """Rows (record..., source, n_copies, repeat, copy) in disjoint record ranges, ordered by record and source.
 
-    One row per record and source; n_copies says how often the source repeats the record. Where repeat is false
-    the source is the record's smallest (a null source only if it has no other), and n_total its number of
-    copies in all sources; all other rows are deliveries of it again. Rows whose first record column is
-    null are damaged and left out; nulls in the others are values.
+    The rows of the runs, merged: repeat is false for one row of each record, of its smallest source (a null source only if
+    there is no other), and copy is true where the source has the record in the row before already. Rows whose
+    first record column is null are damaged and left out; nulls in the others are values.
 
-    One shuffle: rows go to their range straight from the scan, and are combined there. Records that hold a task's share
-    of the rows are combined map-side before, so only their first row takes part in the merge; their
-    repeats follow unordered. `hot` is what hot_records finds, where that is known.
+    One shuffle: rows go to their range straight from the scan and are merged there. Records that hold a task's share
+    of the rows are combined map-side before, to one row per source that counts n_copies, and only the first of these
+    takes part in the merge; the others follow unordered. `hot` is what hot_records finds, where that is known.
     """
     live = run.where(F.col(record[0]).isNotNull()).select(*record, source)
     hot = hot_records(live, record, run.count()) if hot is None else hot
-    rows = live.withColumn("n_copies", F.lit(1).cast("bigint")).withColumn("_others", F.lit(0).cast("bigint"))
+    rows = live.withColumn("n_copies", F.lit(1).cast("bigint"))
     repeats = None
     if hot:
         is_hot = F.xxhash64(*record).isin(hot)
         per_source = live.where(is_hot).groupBy(*record, source).agg(F.count(F.lit(1)).alias("n_copies"))
         names = [f"_{c}" for c in record]
-        first = per_source.groupBy(*[F.col(c).alias(n) for c, n in zip(record, names, strict=True)]).agg(F.min(source).alias("_first"), F.sum("n_copies").alias("_all"))
+        first = per_source.groupBy(*[F.col(c).alias(n) for c, n in zip(record, names, strict=True)]).agg(F.min(source).alias("_first"))
         same = F.lit(True)
         for c, n in zip(record, names, strict=True):
             same = same & F.col(c).eqNullSafe(F.col(n))
         marked = per_source.join(F.broadcast(first), same)  # one row per hot record
         is_first = F.col(source).eqNullSafe(F.col("_first"))
-        rows = rows.where(~is_hot).unionByName(marked.where(is_first).select(*record, source, "n_copies", (F.col("_all") - F.col("n_copies")).alias("_others")))
-        repeats = marked.where(~is_first).select(*record, source, "n_copies", F.lit(None).cast("bigint").alias("n_total"), F.lit(True).alias("repeat"))
+        rows = rows.where(~is_hot).unionByName(marked.where(is_first).select(*record, source, "n_copies"))
+        repeats = marked.where(~is_first).select(*record, source, "n_copies", F.lit(True).alias("repeat"), F.lit(False).alias("copy"))
     ranged = rows.repartitionByRange(ranges, *record) if ranges else rows.repartitionByRange(*record)
-    combined = ranged.groupBy(*record, source).agg(F.sum("n_copies").alias("n_copies"), F.sum("_others").alias("_others"))
-    of_record = Window.partitionBy(*record)  # the range is in this order, and a record's sources are few
-    first_source = F.min(source).over(of_record)
-    merged = combined.select(
-        *record, source, "n_copies", F.sum(F.col("n_copies") + F.col("_others")).over(of_record).alias("n_total"), (~F.col(source).eqNullSafe(first_source)).alias("repeat")
-    )
+    of_record = Window.partitionBy(*record).orderBy(F.col(source).asc_nulls_last())  # the range is sorted like this
+    place = F.row_number().over(of_record)
+    copy = (place > 1) & F.col(source).eqNullSafe(F.lag(source).over(of_record))
+    merged = ranged.select(*record, source, "n_copies", (place > 1).alias("repeat"), copy.alias("copy"))
     return merged if repeats is None else merged.unionByName(repeats)
 
 
@@ -89,7 +86,7 @@ def source_report(merged: DataFrame, source: str = "file_id") -> DataFrame:
     these no smaller source has."""
     return merged.groupBy(source).agg(
         F.sum("n_copies").alias("n_rows"),
-        F.count(F.lit(1)).alias("n_distinct"),
+        F.count(F.when(~F.col("copy"), 1)).alias("n_distinct"),
         F.count(F.when(~F.col("repeat"), 1)).alias("n_first"),
     )
 
@@ -119,26 +116,24 @@ def consolidate(
     sample = materialize(sampled(live, n_rows).select(F.xxhash64(*record).alias("h"), record_bytes(record, run).alias("b")), "sample")
     a_row = sample.agg(F.avg("b")).first()[0] or 1.0
     ranges = max(1, math.ceil(n_rows * a_row / target_bytes))
-    out = merge_runs(run, record, source, ranges, suspects(sample) if n_rows > SAMPLED * least_share(spark) else [])
-    if keep_duplicates:
-        again = F.when(F.col("repeat"), 1).otherwise(F.col("n_total")).cast("int")
-        out = out.withColumn("_again", F.explode(F.sequence(F.lit(1), again))).drop("_again")
+    hot = suspects(sample) if n_rows > SAMPLED * least_share(spark) and not keep_duplicates else []
+    out = merge_runs(run, record, source, ranges, hot).withColumn("kept", F.lit(True) if keep_duplicates else ~F.col("repeat"))
     per_file = max(1, int(1.25 * target_bytes / a_row))
-    out.sortWithinPartitions("repeat", *record).write.option("maxRecordsPerFile", per_file).partitionBy("repeat").mode("overwrite").parquet(path)
+    out.sortWithinPartitions("kept", *record).write.option("maxRecordsPerFile", per_file).partitionBy("kept").mode("overwrite").parquet(path)
     return file_ranges(consolidated(spark, path, run.schema, record), record)
 
 
 def merged_rows(spark: SparkSession, path: str, schema: T.StructType, record: Sequence[str] = RECORD, source: str = "file_id") -> DataFrame:
-    """All rows written by consolidate, as merge_runs gives them; `schema` is that of the runs."""
-    count = T.LongType()
+    """All rows written by consolidate, as merge_runs gives them, and which are kept; `schema` is that of the runs."""
     columns = [T.StructField(c, schema[c].dataType) for c in (*record, source)]
-    columns += [T.StructField("n_copies", count), T.StructField("n_total", count), T.StructField("repeat", T.BooleanType())]
+    flag = T.BooleanType()
+    columns += [T.StructField("n_copies", T.LongType()), T.StructField("repeat", flag), T.StructField("copy", flag), T.StructField("kept", flag)]
     return spark.read.schema(T.StructType(columns)).parquet(path)
 
 
 def consolidated(spark: SparkSession, path: str, schema: T.StructType, record: Sequence[str] = RECORD, source: str = "file_id") -> DataFrame:
     """The records written by consolidate, ordered within files."""
-    return merged_rows(spark, path, schema, record, source).where(~F.col("repeat")).select(*record)
+    return merged_rows(spark, path, schema, record, source).where("kept").select(*record)
 
 
 def file_ranges(written: DataFrame, record: Sequence[str] = RECORD) -> DataFrame:
