@@ -29,7 +29,8 @@ RECORD = ("term", "docid", "chunk_no", "tf")
 COUNTS = "term string, cf bigint, df bigint"
 TERMS_A_PART = 250_000
 # Into how many id ranges the documents of a delivery are gathered, to read no more of the records than these.
-SPANS = 64
+SPANS = 32
+PAGE_ROWS = 2000
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -55,7 +56,7 @@ def added_records(delivered: DataFrame, known: DataFrame | None, about: int) ->
         rows = rows.where(~again).unionByName(rows.where(again).distinct())
     if known is not None:
         rows = rows.unionByName(known.select(*RECORD).withColumn("known", F.lit(1)))
-    pair = Window.partitionBy("term", "docid")
+    pair = Window.partitionBy("docid", "term")  # in this order rows come out sorted by document, as they are stored
     order = pair.orderBy("chunk_no", "tf", F.desc("known"))
     same = F.col("chunk_no").eqNullSafe(F.lag("chunk_no").over(order)) & F.col("tf").eqNullSafe(F.lag("tf").over(order)) & (F.row_number().over(order) > 1)
     lead = F.row_number().over(order) == 1
@@ -183,7 +184,7 @@ class TermCounts:
                 known = self.records(touched if taken is None else touched.join(taken, "docid", "left_anti"))
                 known = None if known is None else materialize(known, "known-records")
             new = added_records(rows, known, rows.count() if about is None else about).sortWithinPartitions("docid")
-            new.write.mode("overwrite").parquet(f"{self.path}/records/v={number}")
+            new.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/records/v={number}")
             kinds = kinds or T.StructType([*new.schema.fields, T.StructField("v", T.IntegerType())]).json()
             added = changes(self.spark.read.schema(new.schema).parquet(f"{self.path}/records/v={number}"), 1)
             if known is not None:  # documents that were there are no new ones
@@ -201,10 +202,11 @@ class TermCounts:
             rows = materialize(rows, "delta")
             n_docs += sign * rows.where(F.col("docid").isNotNull() & (F.col("n") > 0)).count()
             terms = rows.where(F.col("term").isNotNull()).select("term", "cf", "df")
-            per_term = terms if per_term is None else per_term.unionByName(terms)
+            per_term = terms if per_term is None else per_term.unionByName(terms).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
         parts, counts, n_terms = v.parts, dict(v.counts), v.n_terms
         if per_term is not None:
-            signed = materialize(per_term.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).where("cf <> 0 OR df <> 0"), "signed-delta")
+            signed = per_term.where("cf <> 0 OR df <> 0")
+            signed = signed if len(delta) == 1 else materialize(signed, "signed-delta")
             n = signed.count()
             while v.n_terms + n > 2 * TERMS_A_PART * parts:
                 parts *= 2
@@ -279,5 +281,5 @@ def collection_counts(run: DataFrame, files: DataFrame | None = None, first_shar
         counts.deliver(run)
         return counts
     counts.deliver(run.where(F.col("file_id").isNull() | (F.col("file_id") <= cut)), about=about)
-    counts.deliver(run.where(F.col("file_id") > cut))
+    counts.deliver(run.where(F.col("file_id") > cut), about=None if about is None else int(about * (1 - first_share)) + 1)
     return counts
