@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -243,20 +244,25 @@ def write_postings(p: DataFrame, path: str, lengths: DataFrame | None = None) ->
     spark = p.sparkSession
     build = uuid.uuid4().hex
     base = materialize(p, "base-postings")
-    _write(lengths_from_postings(base) if lengths is None else lengths, f"{path}/doc_lengths")
-    dl = spark.read.parquet(f"{path}/doc_lengths")
-    sizes = materialize(base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms")), "terms-of-documents")
-    measured = salted_lookup(base, dl, "doc_id", hot_keys(sizes, "doc_id", "n_terms"), ["term"], "left")
-    measured = materialize(measured.select("term", "doc_id", "tf", "dl"), "measured-postings")  # range bounds are sampled from it
-    ranged = measured.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    _write(ranged.withColumn("_range", F.spark_partition_id()), f"{path}/postings")
-    laid = spark.read.parquet(f"{path}/postings")
-    _write(range_starts(laid, ["term"], "doc_id"), f"{path}/starts")
-    directory = block_directory(laid.drop("dl"), BLOCK, spark.read.parquet(f"{path}/starts"))
-    _write(directory.repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no"), f"{path}/blocks")
-    # a block's rows tell a term's documents, its occurrences need the postings
-    _write(lexicon(laid), f"{path}/lexicon")
-    s = corpus_stats(dl).first()
+    with ThreadPoolExecutor(1) as beside:
+        lex = beside.submit(_write, lexicon(base), f"{path}/lexicon")
+        documents = materialize(base.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("n_terms")), "documents")
+        dl = documents.select("doc_id", "dl")
+        if lengths is not None:
+            _write(lengths, f"{path}/doc_lengths")
+            dl = spark.read.parquet(f"{path}/doc_lengths")
+        measured = salted_lookup(base, dl, "doc_id", hot_keys(documents, "doc_id", "n_terms"), ["term"], "left")
+        measured = materialize(measured.select("term", "doc_id", "tf", "dl"), "measured-postings")  # range bounds are sampled from it
+        ranged = measured.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        _write(ranged.withColumn("_range", F.spark_partition_id()), f"{path}/postings")
+        laid = spark.read.parquet(f"{path}/postings")
+        _write(range_starts(laid, ["term"], "doc_id"), f"{path}/starts")
+        directory = block_directory(laid.drop("dl"), BLOCK, spark.read.parquet(f"{path}/starts"))
+        _write(directory.sortWithinPartitions("term", "block_no"), f"{path}/blocks")
+        s = corpus_stats(dl).first()
+        if lengths is None:
+            _write(dl, f"{path}/doc_lengths")
+        lex.result()
     _write(spark.createDataFrame([(build, s["n_docs"], float(s["avgdl"] or 0.0))], "build_id string, n_docs bigint, avgdl double"), f"{path}/stats")
     return open_index(spark, path)
 
