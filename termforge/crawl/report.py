@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions.scoring import page_score, super_score, total_priority
@@ -57,6 +57,12 @@ def status_code(status) -> F.Column:
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """CSV of the log columns, scores with 3 decimals."""
+    """CSV of the log columns, scores with 3 decimals; nulls are empty, and quotes in fields are doubled."""
     scores = {"page_score", "super_score", "total_priority", "priority_at_pop"}
-    log.select(*[F.format_string("%.3f", c).alias(c) if c in scores else F.col(c) for c in LOG_COLUMNS]).write.mode("overwrite").option("header", True).csv(path)
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.3f", c)).alias(c) if c in scores else F.col(c) for c in LOG_COLUMNS]
+    log.select(*shown).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log columns of such a CSV, as text."""
+    return spark.read.option("header", True).option("escape", '"').csv(path).select(*LOG_COLUMNS)

@@ -30,3 +30,8 @@ def super_score(super_before: Column, weight: float = SUPER_WEIGHT) -> Column:
 
 def total_priority(domain_before: Column, super_before: Column, depth: Column, super_w: float = SUPER_WEIGHT, depth_w: float = DEPTH_WEIGHT) -> Column:
     return page_score(domain_before) + super_score(super_before, super_w) + F.lit(depth_w) / (depth + 1.0)
+
+
+def shown_score(score: Column) -> Column:
+    """A score as a page shows it: 3 decimals, N/A for none or zero."""
+    return F.when(score != 0, F.format_string("%.3f", score)).otherwise("N/A")

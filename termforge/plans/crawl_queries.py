@@ -155,11 +155,19 @@ SELECT log_id, b, regexp_extract(b, '^[^:]*://[^/?]*([^?]*)', 1) AS path,
   array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
     lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid)(=|$)')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&') AS q
 FROM (SELECT log_id, crawl_id, regexp_replace(url, '#.*$', '') AS b FROM crawl_log WHERE url IS NOT NULL {where}))"""
+_LINKS = "WITH c AS (" + _CANON.replace("{where}", "") + r"""), k AS (SELECT log_id, 0 AS pos, canonical AS link FROM c
+UNION ALL SELECT log_id, 1, regexp_extract(canonical, '^[^:]+://[^/?]*') FROM c)
+"""
 _PATH = r"lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)', 1))"
 ORACLE = {
     "url_domain": _L + "SELECT log_id, host, domain, superdomain FROM u",
     "url_canonical": _CANON.replace("{where}", ""),
     "url_canonical_exact": _CANON.replace("{where}", ""),
+    "extract_links": _LINKS + "SELECT log_id, pos, link FROM k",
+    "links_dedup": _LINKS + "SELECT DISTINCT link FROM k",
+    "robots_allowed": r"""SELECT url, allowed FROM (SELECT DISTINCT url, authority <> '' AND NOT (lower(authority) LIKE '%.test' AND starts_with(path, '/d')) AS allowed
+FROM (SELECT url, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1) AS authority,
+  regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path FROM crawl_log WHERE url IS NOT NULL))""",
     "url_defragmented": "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM crawl_log WHERE url IS NOT NULL",
     "url_binary_or_cgi": f"SELECT log_id, regexp_matches({_PATH}, '\\.({'|'.join(urls.BINARY_SUFFIXES)})$') AS is_binary, contains(lower(url), 'cgi') AS is_cgi FROM crawl_log WHERE url IS NOT NULL",
     "link_scheme_filter": "SELECT log_id, unnest([url, 'MAILTO:a@b.test']) AS href FROM crawl_log WHERE url IS NOT NULL AND trim(url) <> ''",

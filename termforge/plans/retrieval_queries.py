@@ -271,11 +271,25 @@ def snippets(spark, d):
 
 
 def search_response_json(spark, d):
-    return response_rows(rt.search_topk(_index(spark, d), "the of", 10), "the of", "AND")
+    """The response of a search, and what a client reads from it."""
+    answer = "results array<struct<docid bigint, score double>>, totalResults int, query string, mode string"
+    r = response_rows(rt.search_topk(_index(spark, d), "the of", 10), "the of", "AND").select(F.from_json("response", answer).alias("r")).select("r.*")
+    docids = F.array_join(F.transform("results", lambda x: x["docid"].cast("string")), " ")
+    total = F.aggregate("results", F.lit(0.0), lambda acc, x: acc + x["score"])
+    return r.select("query", "mode", F.col("totalResults").alias("total"), docids.alias("docids"), F.round(total, 4).alias("score_sum"))
 
 
 def sampled_queries(spark, d):
-    return rt.sample_queries(_index(spark, d).lexicon, 20, 2)
+    """How many queries were sampled, of how many known and different terms each."""
+    index = _index(spark, d)
+    q = rt.sample_queries(index.lexicon, 20, 2).select("qid", F.explode(F.split("query", " ")).alias("term"))
+    per = q.join(index.lexicon.select("term"), "term").groupBy("qid").agg(F.countDistinct("term").alias("n_terms"))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.min("n_terms").alias("least_terms"), F.max("n_terms").alias("most_terms"))
+
+
+def ranked_other_mode(spark, d):
+    """A mode that is neither AND nor OR ranks like OR."""
+    return rt.ranked(_index(spark, d), "bright quiet", "any").select("doc_id", _score())
 
 
 def query_terms(spark, d):
@@ -303,7 +317,7 @@ QUERIES = {
         bm25_repeated_terms, bm25_custom_k1_b, bm25_all_matches, bm25_batch_topk, block_directory, block_lexicon, block_postings, term_offsets, seek_block_ge,
         cursor_next_ge, docid_gaps, codec_sizes, varbyte_blocks, varbyte_roundtrip, raw_roundtrip, partial_runs_merge, merge_equals_direct, merged_run, lengths_from_postings,
         newest_doc_lengths, newest_lexicon, length_mismatches, membership_diff, consistency_report, corpus_explicit, corpus_ordinal,
-        corpus_ordinal_skip_blank, latest_explicit_id, first_n_docs, build_totals, indexed_documents, snippets, search_response_json, sampled_queries,
+        corpus_ordinal_skip_blank, latest_explicit_id, first_n_docs, build_totals, indexed_documents, snippets, search_response_json, sampled_queries, ranked_other_mode,
         query_terms, top_documents_per_term, latency_percentiles,
     )
 }
@@ -404,7 +418,7 @@ FROM raw_lines WHERE contains(line, chr(9)) AND regexp_full_match(trim(split_par
     "corpus_ordinal_skip_blank": f"""SELECT row_number() OVER (ORDER BY line_id) - 1 AS doc_id, list_extract(string_split(line, chr(9)), -1) AS text
 FROM raw_lines WHERE NOT {_BLANK}""",
     "latest_explicit_id": "SELECT docid AS doc_id, row_id, text FROM collection_rows WHERE docid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY docid ORDER BY row_id DESC) = 1",
-    "first_n_docs": "SELECT row_id, text FROM collection_rows WHERE text IS NOT NULL AND trim(text) <> '' ORDER BY row_id LIMIT 100",
+    "first_n_docs": "SELECT row_id, text FROM collection_rows WHERE regexp_matches(text, '[^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]') ORDER BY row_id LIMIT 100",
     "build_totals": _P + "SELECT (SELECT count(*) FROM tok) AS n_docs, (SELECT count(*) FROM p) AS n_rows",
     "indexed_documents": _P + "SELECT count(DISTINCT doc_id) AS n_docs FROM p",
     "snippets": r"""
@@ -414,6 +428,10 @@ w AS (SELECT doc_id, k, greatest(0, pos - 50) AS start, substr(l, greatest(0, po
 r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY contains(x, 'average')::INT + contains(x, 'quiet')::INT + contains(x, 'bright')::INT DESC, k) AS n FROM w),
 s AS (SELECT c.doc_id, text, coalesce(start, 0) AS start FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND n = 1)
 SELECT doc_id, CASE WHEN start > 0 THEN '...' ELSE '' END || substr(text, start + 1, 200) || CASE WHEN start + 200 < length(text) THEN '...' ELSE '' END AS snippet FROM s""",
+    "search_response_json": _bm25({"the": 1, "of": 1}, "AND", topk=10).replace("SELECT doc_id, round(score, 6) AS score FROM s", """
+SELECT 'the of' AS query, 'AND' AS mode, CAST(count(*) AS INTEGER) AS total, string_agg(doc_id, ' ' ORDER BY score DESC, doc_id) AS docids, round(sum(round(score, 6)), 4) AS score_sum FROM s"""),
+    "sampled_queries": _RUN + "SELECT least(20, count(*) // 2) AS n_queries, CAST(2 AS BIGINT) AS least_terms, CAST(2 AS BIGINT) AS most_terms FROM lex",
+    "ranked_other_mode": _bm25({"bright": 1, "quiet": 1}, "OR"),
     "query_terms": r"""
 WITH q AS (SELECT qid, list_filter(regexp_split_to_array(lower(query), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS t FROM search_queries WHERE query IS NOT NULL)
 SELECT qid, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos, unnest(t) AS term FROM q""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termforge.functions.text import SPACE
 from termforge.operators.ranges import numbered
 
 POLICIES = ("explicit", "ordinal", "ordinal_skip_blank")
@@ -25,12 +26,13 @@ def sound_text(value: Column, malformed: str = "drop") -> Column:
     return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(kept, F.lit(NONCHARACTER), F.lit(REPLACEMENT)))
 
 
-def text_lines(spark: SparkSession, path: str, malformed: str = "drop") -> DataFrame:
-    """(value): the lines of text files, globs allowed; see sound_text for malformed UTF-8."""
-    return spark.read.text(path).select(sound_text(F.col("value"), malformed).alias("value"))
+def text_lines(spark: SparkSession, path: str, malformed: str = "drop", line_sep: str | None = None) -> DataFrame:
+    """(value): the lines of text files, globs allowed; see sound_text for malformed UTF-8. Lines end with a line feed, a
+    carriage return or both, or with line_sep alone."""
+    return spark.read.text(path, lineSep=line_sep).select(sound_text(F.col("value"), malformed).alias("value"))
 
 
-def numbered_lines(spark: SparkSession, path: str, malformed: str = "drop") -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, malformed: str = "drop", line_sep: str | None = None) -> DataFrame:
     """(line_no, value): lines with their dense ordinal from 0, files in the order of their paths.
 
     Lines are counted per block of a file, blocks are offset by the counts before them, and a line's place in its block is
@@ -38,7 +40,7 @@ def numbered_lines(spark: SparkSession, path: str, malformed: str = "drop") -> D
     is shuffled.
     """
     # the running id is that of the scan, so it comes before anything that could drop rows
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path, lineSep=line_sep).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
     )
     blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -87,13 +89,13 @@ def latest_by_id(rows: DataFrame, order: str, doc_id: str = "doc_id") -> DataFra
 
 
 def first_non_blank(rows: DataFrame, n: int, order: str, text: str) -> DataFrame:
-    """The first n rows by `order` whose text isn't blank."""
-    return rows.where(F.col(text).isNotNull() & (F.trim(text) != "")).orderBy(order).limit(n)
+    """The first n rows by `order` whose text isn't blank: null, empty or white space only."""
+    return rows.where(F.col(text).rlike(f"[^{SPACE}]")).orderBy(order).limit(n)
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:
     """(value): trimmed non-blank lines, for query and seed lists."""
-    v = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    v = F.regexp_replace("value", f"^[{SPACE}]+|[{SPACE}]+$", "")
     return text_lines(spark, path).select(v.alias("value")).where(F.col("value") != "")
 
 
