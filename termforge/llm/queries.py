@@ -60,6 +60,10 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.garbled(table(spark, d, "collection_rows")).select("row_id", "kind", "restored")
 
 
+def p6_validation(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.validation(table(spark, d, "collection_rows"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -112,6 +116,7 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
+    "p6_validation": p6_validation,
     "p8_found": p8_found,
     "p8_assignment": p8_assignment,
     "p8_fill": p8_fill,
