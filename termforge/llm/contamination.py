@@ -23,7 +23,9 @@ from termforge.llm.batches import slices, words
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_WORDS = 300_000
+BLOCK_WORDS = 1_000_000
+# Alignments of items and documents compared at once.
+ALIGNMENTS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,25 +70,63 @@ class ItemBlock:
         for _, ws in self.items:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
-        self.codes = [shingle_codes(x, k) for x in self.ids]
+        ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
+        self.codes = [shingle_codes(x, k) for x in ids]
         self.all_codes = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.uint64)
-        self.prefix_codes = np.zeros(0, np.uint64)
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-
-    def choose_prefixes(self, frequency: dict[int, int]) -> None:
-        """frequency: code -> number of documents; a code that isn't there occurs in none."""
-        per_window = self.window - self.k + 1
-        chosen: dict[int, set[tuple[int, int]]] = {}
-        for n, codes in enumerate(self.codes):
-            rank = [(frequency.get(int(c), 0), int(c)) for c in codes]
-            for start in range(len(codes) - per_window + 1):
-                inside = range(start, start + per_window)
-                if min(rank[p][0] for p in inside) > 0:
-                    p = min(inside, key=lambda p: rank[p])
-                    chosen.setdefault(rank[p][1], set()).add((n, p))
-        self.prefix = {c: sorted(v) for c, v in chosen.items()}
-        self.prefix_codes = np.array(sorted(self.prefix), np.uint64)
+        # all items one after another, a window of no word around each
+        gap = np.full(window, -1, np.int64)
+        self.flat = np.concatenate([gap, *[part for x in ids for part in (x, gap)]])
+        self.starts = window + np.concatenate([[0], np.cumsum([len(x) + window for x in ids])[:-1]]).astype(np.int64) if ids else np.zeros(0, np.int64)
+        self.prefix_codes, self.upto = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.prefix_item, self.prefix_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def choose_prefixes(self, codes: np.ndarray, documents: np.ndarray) -> None:
+        """Of each window its rarest shingle, from codes and the number of documents with them; a code that isn't there occurs
+        in none, and neither does a window with it. Sets the entries (item, position) of each prefix code."""
+        n_docs = np.zeros(len(self.all_codes), np.int64)
+        n_docs[np.searchsorted(self.all_codes, codes)] = documents
+        rank = np.empty(len(n_docs), np.int64)
+        rank[np.lexsort((self.all_codes, n_docs))] = np.arange(len(n_docs))
+        nowhere = int((n_docs == 0).sum())  # ranks below are of codes that occur nowhere
+        per_window, found = self.window - self.k + 1, []
+        for n, own in enumerate(self.codes):
+            ranks = np.lib.stride_tricks.sliding_window_view(rank[np.searchsorted(self.all_codes, own)], per_window)
+            rarest = ranks.argmin(axis=1)
+            there = ranks.min(axis=1) >= nowhere
+            at = np.unique((np.arange(len(ranks)) + rarest)[there])
+            found.append(np.stack([own[at].view(np.int64), np.full(len(at), n), at]))
+        code, item, at = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.argsort(code.view(np.uint64), kind="stable")
+        self.prefix_codes, first = np.unique(code.view(np.uint64)[order], return_index=True)
+        self.upto = np.append(first, len(order))
+        self.prefix_item, self.prefix_at = item[order], at[order]
+
+    def matches(self, doc: np.ndarray, q: np.ndarray, codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item), distinct, for hits: positions q of document words with a prefix code, and the text each lies in.
+
+        A hit aligns the document with every entry of its code; an alignment matches if a run of at least `window` equal
+        words passes through it. Alignments are compared in slices of bounded size.
+        """
+        which = np.searchsorted(self.prefix_codes, codes)
+        n_entries = self.upto[which + 1] - self.upto[which]
+        done = np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(n_entries)])
+        reach = np.arange(-(self.window - 1), self.window)
+        for low in range(0, int(bounds[-1]), ALIGNMENTS):
+            pair = np.arange(low, min(low + ALIGNMENTS, int(bounds[-1])))
+            hit = np.searchsorted(bounds, pair, side="right") - 1
+            entry = self.upto[which[hit]] + pair - bounds[hit]
+            key = text[hit] * len(self.items) + self.prefix_item[entry]
+            new = ~np.isin(key, done)
+            hit, entry, key = hit[new], entry[new], key[new]
+            at = self.starts[self.prefix_item[entry]] + self.prefix_at[entry]
+            place = q[hit][:, None] + reach
+            inside = (place >= 0) & (place < len(doc))
+            equal = inside & (doc[np.where(inside, place, 0)] == self.flat[at[:, None] + reach])
+            left = np.logical_and.accumulate(equal[:, self.window - 1 :: -1], axis=1).sum(axis=1)
+            right = np.logical_and.accumulate(equal[:, self.window - 1 :], axis=1).sum(axis=1)
+            done = np.union1d(done, key[left + right - 1 >= self.window])
+        return done // max(1, len(self.items)), done % max(1, len(self.items))
 
 
 def _member(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -123,30 +163,14 @@ def _matches(shared):
                 ids, starts, at = _numbered(block.vocabulary, pdf["text"].tolist(), block.k)
                 codes = shingle_codes(ids, block.k)[at] if len(at) else np.zeros(0, np.uint64)
                 hit = _member(codes, block.prefix_codes)
-                found: set[tuple[int, int]] = set()
-                for q, c in zip(at[hit].tolist(), codes[hit].tolist(), strict=True):
-                    text = int(np.searchsorted(starts, q, side="right")) - 1
-                    for n, p in block.prefix[c]:
-                        if (text, n) not in found and _run_at(ids, q, block.ids[n], p, int(starts[text]), int(starts[text + 1])) >= block.window:
-                            found.add((text, n))
-                if found:
-                    rows = sorted(found)
-                    yield pd.DataFrame({"item_id": [block.items[n][0] for _, n in rows], "doc_id": pdf["doc_id"].iloc[[t for t, _ in rows]].tolist()})
+                q = at[hit]
+                texts, items = block.matches(ids, q, codes[hit], np.searchsorted(starts, q, side="right") - 1)
+                if len(texts):
+                    yield pd.DataFrame({"item_id": [block.items[n][0] for n in items.tolist()], "doc_id": pdf["doc_id"].iloc[texts].tolist()})
 
     return match
 
 
-def _run_at(doc: np.ndarray, q: int, item: np.ndarray, p: int, low: int, high: int) -> int:
-    """Length of the run of equal words through position q of the document and p of the item."""
-    left = 0
-    while q - left - 1 >= low and p - left - 1 >= 0 and doc[q - left - 1] == item[p - left - 1]:
-        left += 1
-    right = 0
-    while q + right < high and p + right < len(item) and doc[q + right] == item[p + right]:
-        right += 1
-    return left + right if right else 0
-
-
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS
@@ -168,7 +192,8 @@ def leaked_items(
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = ItemBlock([(r[0], r[1]) for r in rows], window, shingle)
         counted = corpus.mapInPandas(_frequencies(spark.sparkContext.broadcast(block)), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-        block.choose_prefixes({int(np.int64(r[0]).view(np.uint64)): r[1] for r in counted.collect()})  # at most one row per item shingle
+        frequency = counted.toPandas()  # at most one row per item shingle
+        block.choose_prefixes(frequency["code"].to_numpy(np.int64).view(np.uint64), frequency["n"].to_numpy(np.int64))
         found = corpus.mapInPandas(_matches(spark.sparkContext.broadcast(block)), "item_id string, doc_id string")
         out = found if out is None else out.unionByName(found)
     kinds = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]

@@ -53,6 +53,15 @@ def test_leaks_match_brute_force(spark):
         assert {(r["item_id"], r["doc_id"]) for r in rows} == want and len(rows) == len(want)
 
 
+def test_slices_of_alignments(spark, monkeypatch):
+    """Repeated words make many alignments of a document and an item; passages may touch the ends of texts and items."""
+    monkeypatch.setattr(C, "ALIGNMENTS", 7)
+    items = [(1, "x " * 40), (2, "y " + "x " * 12), (3, "a b c d e f g h i j"), (4, "j i h g f e d c b a j i h"), (5, "x " * 9), (6, "x " * 10 + "z")]
+    docs = [(1, "x " * 200), (2, "x " * 9), (3, "a b c d e f g h i"), (4, "j a b c d e f g h i j"), (5, "a b c d e f g h i j"), (6, "c d e f g h i j a b"), (7, "y " + "x " * 9), (8, "e d c b a j i h g f e")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in C.leaked_items(d.coalesce(1), i).collect()} == leaks(docs, items)
+
+
 def test_other_windows(spark):
     docs, items = corpus(7)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
