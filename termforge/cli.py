@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 from collections.abc import Callable, Sequence
 from urllib.parse import quote_plus
 
@@ -15,6 +16,7 @@ from termforge.crawl import fetch, frontier, links, report
 from termforge.functions.text import utc_text
 from termforge.operators import index as ix
 from termforge.operators import retrieval as rt
+from termforge.operators import verify
 from termforge.session import local_session
 from termforge.sources import corpus
 
@@ -29,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("source"), c.add_argument("out"), c.add_argument("--docids", choices=corpus.POLICIES, default="explicit")
     c = sub.add_parser("search")
     c.add_argument("index"), c.add_argument("query"), c.add_argument("--mode", default="AND"), c.add_argument("--topk", type=int, default=10)
+    c = sub.add_parser("bench", help="latency of ranked searches, of listed queries or of ones sampled from the lexicon")
+    c.add_argument("index"), c.add_argument("--queries-file"), c.add_argument("--n", type=int, default=200), c.add_argument("--topk", type=int, default=10)
     c = sub.add_parser("serve")
     c.add_argument("index"), c.add_argument("--port", type=int, default=8000)
     c = sub.add_parser("subset")
@@ -61,6 +65,22 @@ def _seeds(spark: SparkSession, a: argparse.Namespace, opener: Callable) -> Data
     return spark.createDataFrame([(u,) for u in links.result_seeds(page, a.num_seeds)], "url string")
 
 
+def _latencies(spark: SparkSession, a: argparse.Namespace) -> str:
+    """A line per mode: number of queries and mean, median, 95th percentile and maximum of their milliseconds."""
+    index = ix.open_index(spark, a.index)
+    asked = corpus.list_file(spark, a.queries_file).select(F.col("value").alias("query")) if a.queries_file else rt.sample_queries(index.lexicon, a.n).select("query")
+    queries, lines = [r["query"] for r in asked.limit(a.n).collect()], []
+    for mode in ("AND", "OR"):
+        took = []
+        for q in queries:
+            began = time.perf_counter()
+            rt.search_topk(index, q, a.topk, mode=mode).collect()
+            took.append(((time.perf_counter() - began) * 1000,))
+        r = verify.latency_summary(spark.createDataFrame(took, "ms double"), "ms").first()
+        lines.append(f"{mode}\t{r['n']} queries" + "".join(f"\t{k} {r[k]:.2f} ms" for k in ("mean", "p50", "p95", "max") if r[k] is not None))
+    return "\n".join(lines)
+
+
 def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, opener: Callable = fetch.web_opener) -> str:
     """Run a command and return what it prints. `opener` fetches URLs where a crawl is live."""
     a = parser().parse_args(args)
@@ -71,6 +91,8 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, o
     elif a.command == "search":
         rows = rt.search_topk(ix.open_index(spark, a.index), a.query, a.topk, mode=a.mode).collect()
         said = "\n".join(f"{r['doc_id']}\t{r['score']:.6f}" for r in rows)
+    elif a.command == "bench":
+        said = _latencies(spark, a)
     elif a.command == "serve":
         service.server(ix.open_index(spark, a.index), a.port).serve_forever()
         said = ""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions.codec import block_docids, raw, unraw, unvarbyte, varbyte, varbyte_size
 from termforge.functions.text import HAVE_REPAIR, index_tokens, repair_text, unescape
+from termforge.operators.consolidate import RECORD, hot_records
 from termforge.operators.ranges import numbered, numbered_ranges, range_starts
 from termforge.operators.skew import hot_keys, salted_lookup
 from termforge.session import materialize
@@ -202,11 +203,26 @@ def of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     return Index(p, lengths, lexicon(p), s["n_docs"], s["avgdl"] or 0.0)
 
 
+def distinct_records(run: DataFrame) -> DataFrame:
+    """The distinct records (term, docid, chunk_no, tf) of a run table, rows of a term and document in one partition.
+
+    Rows with a null term or docid are damaged and left out; nulls in the others are values. One shuffle, by term and
+    document together, which no frequent term and no long document fills, and repeats are dropped where they meet. Records
+    that hold a task's share of the rows are combined map-side before.
+    """
+    rows = run.select(*RECORD).where(F.col("term").isNotNull() & F.col("docid").isNotNull())
+    hot = hot_records(rows, RECORD, run.count())
+    if hot:
+        again = F.xxhash64(*RECORD).isin(hot)
+        rows = rows.where(~again).unionByName(rows.where(again).distinct())
+    order = Window.partitionBy("docid", "term").orderBy("chunk_no", "tf")
+    same = (F.row_number().over(order) > 1) & F.col("chunk_no").eqNullSafe(F.lag("chunk_no").over(order)) & F.col("tf").eqNullSafe(F.lag("tf").over(order))
+    return rows.repartition("term", "docid").withColumn("_same", same).where(~F.col("_same")).drop("_same")
+
+
 def run_postings(run: DataFrame) -> DataFrame:
     """(term, doc_id, tf) of a run table: frequencies summed over distinct records; a null tf adds nothing."""
-    live = run.where(F.col("term").isNotNull() & F.col("docid").isNotNull())
-    rec = live.select("term", F.col("docid").alias("doc_id"), "chunk_no", "tf").distinct()
-    return rec.groupBy("term", "doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+    return distinct_records(run).groupBy("term", F.col("docid").alias("doc_id")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
 
 
 def of_run(run: DataFrame) -> Index:

@@ -11,6 +11,10 @@ def test_index_search_inspect(spark, toy, tmp_path):
     assert cli.main(["index", str(tmp_path / "docs.parquet"), str(tmp_path / "ix")], spark).startswith("8 documents, average length 6.875")
     assert cli.main(["search", str(tmp_path / "ix"), "clock tower"], spark) == "5\t3.050007"
     assert cli.main(["search", str(tmp_path / "ix"), "the river", "--mode", "or", "--topk", "1"], spark) == "5\t1.716656"
+    said = cli.main(["bench", str(tmp_path / "ix"), "--n", "2"], spark).split("\n")
+    assert [x.split("\t")[:2] for x in said] == [["AND", "2 queries"], ["OR", "2 queries"]] and "p95" in said[0]
+    (tmp_path / "q.txt").write_text("clock tower\n\nriver\nsilt\n")
+    assert "3 queries" in cli.main(["bench", str(tmp_path / "ix"), "--queries-file", str(tmp_path / "q.txt")], spark)
     assert "8 rows" in cli.main(["inspect", str(tmp_path / "docs.parquet"), "--limit", "2"], spark)
 
 
