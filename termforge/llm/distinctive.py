@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termforge.operators.index import run_postings
 from termforge.operators.skew import hot_keys, salted_lookup
 from termforge.session import materialize
 
@@ -30,11 +31,9 @@ STRENGTH = 1000.0
 def record_postings(run: DataFrame) -> DataFrame:
     """(term, docid, tf): tf summed over the distinct records (term, docid, chunk_no, tf).
 
-    Rows with a null term or docid are damaged and left out; a null tf adds nothing. Two
-    partial aggregations, each keyed finely enough that no term or document is hot.
+    Rows with a null term or docid are damaged and left out; a null tf adds nothing. See run_postings.
     """
-    live = run.where(F.col("term").isNotNull() & F.col("docid").isNotNull())
-    return live.select("term", "docid", "chunk_no", "tf").distinct().groupBy("term", "docid").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+    return run_postings(run).select("term", F.col("doc_id").alias("docid"), "tf")
 
 
 def z_score(tf: Column, dl: Column, df: Column, cf: Column, n: Column, n_postings: Column, strength: float) -> Column:
