@@ -1,4 +1,5 @@
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -49,6 +50,20 @@ def test_batch_equals_single(spark, index):
     assert got == {i: w[:3] for i, (_, _, w) in enumerate(GOLDEN) if w}
 
 
+def test_batch_with_hot_terms_and_long_lists(spark, monkeypatch):
+    """AND from the rarest term, frequent terms split by document, one query asking for more than the others."""
+    monkeypatch.setattr(rt, "MANY", 4)
+    rng = random.Random(5)
+    texts = [" ".join(["hot"] + rng.choices(["warm", "mild", "cool", "cold"], weights=(20, 8, 3, 1), k=6)) for _ in range(300)]
+    asked = ["hot", "hot cold", "cold hot warm hot", "mild cool cold", "cold zzz", "warm mild", "cool cold hot"]
+    qs = [(i, q, m, 300 if q == "hot cold" else 4) for i, (q, m) in enumerate((q, m) for q in asked for m in ("AND", "OR"))]
+    i = ix.of_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = defaultdict(list)
+    for r in rt.batch(i, spark.createDataFrame(qs, "qid int, query string, mode string, topk int"), topk=F.col("topk")).orderBy("qid", "rank").collect():
+        got[r["qid"]].append((r["doc_id"], round(r["score"], 6)))
+    assert got == {k: bm25(q, m, texts=texts)[:n] for k, q, m, n in qs}
+
+
 def test_parameters(index):
     with pytest.raises(ValueError):
         rt.search_topk(index, "the", 0)
