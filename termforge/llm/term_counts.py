@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -194,6 +194,17 @@ class TermCounts:
             records.append(number)
         self._merge(delta, number, records, gone, kinds)
 
+    def compact(self) -> None:
+        """Publish a version of the same counts whose records lie in one folder, in ranges of document and term, without those
+        of documents taken out. Older versions stay readable as long as their folders do."""
+        v, live = self.version, self.records()
+        if live is None:
+            return
+        number = v.number + 1
+        laid = materialize(live, "live-records").repartitionByRange("docid", "term").sortWithinPartitions("docid")
+        laid.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/records/v={number}")
+        self.version = self._published(replace(v, number=number, records=[number], gone=[]))
+
     def _merge(self, delta: list[tuple[int, DataFrame]], number: int, records: list[int], gone: list[int], kinds: str | None) -> None:
         """Merge signed changes into the partitions they fall in and publish the version."""
         v = self.version

@@ -172,6 +172,24 @@ def test_reopened_counts_take_redeliveries_changes_and_deletions(spark):
         C.TermCounts.open(spark, path + "-none")
 
 
+def test_compaction_keeps_what_is_there(spark):
+    data = rows(6, 400)
+    c = C.collection_counts(spark.createDataFrame(data, RUN), files_of(spark, data), 0.5)
+    c.deliver(deleted=spark.createDataFrame([(1,), (2,)], "docid bigint"))
+    c.deliver(spark.createDataFrame([(99, "a", 1, 0, 7, "x", "y")], RUN))
+    data = [r for r in data if r[2] not in (1, 2)] + [(99, "a", 1, 0, 7)]
+    before = sorted(map(repr, c.records().collect()))
+    c.compact()
+    c = C.TermCounts.open(spark, c.path)
+    assert sorted(map(repr, c.records().collect())) == before and len(c.version.records) == 1 and c.version.gone == []
+    assert (current(c), c.n_docs) == brute(data)
+    c.deliver(spark.createDataFrame([(*r[:5], "x", "y") for r in data[:50]], RUN))
+    assert (current(c), c.n_docs) == brute(data)
+    empty = C.collection_counts(spark.createDataFrame([], RUN))
+    empty.compact()
+    assert empty.n_docs == 0
+
+
 def test_a_slower_delivery_is_refused(spark):
     run = spark.createDataFrame(rows(5, 100), RUN)
     path = C.collection_counts(run).path
