@@ -136,11 +136,13 @@ def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
 
 
 def fill_report(assignment: DataFrame) -> DataFrame:
-    """(container_id, n_sequences, n_tokens, fill): how full the sequences of each container are."""
+    """(container_id, n_sequences, least_sequences, n_shards, n_tokens, fill): how full the sequences of each container are, and
+    how many of them its tokens would fill at least."""
     per_seq = assignment.groupBy("container_id", "shard", "seq_no", "capacity").agg(F.sum("n_tokens").alias("t"))
     return per_seq.groupBy("container_id").agg(
-        F.count(F.lit(1)).alias("n_sequences"), F.sum("t").alias("n_tokens"), (F.sum("t") / F.sum("capacity")).alias("fill")
-    )
+        F.count(F.lit(1)).alias("n_sequences"), F.ceil(F.sum("t") / F.max("capacity")).alias("least_sequences"), F.countDistinct("shard").alias("n_shards"),
+        F.sum("t").alias("n_tokens"), (F.sum("t") / F.sum("capacity")).alias("fill"),
+    )
 
 
 def packing_summary(assignment: DataFrame) -> DataFrame:

@@ -79,9 +79,10 @@ def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of each container, and whether its sequences are at most 5 % more than the tokens fill."""
+    """Totals of each container, and whether it has at most 5 % more sequences than its tokens fill, and one a shard."""
     report = packing.fill_report(_packed(spark, d))
-    return report.select("container_id", "n_tokens", (F.col("fill") >= 0.95).alias("well_filled"))
+    most = F.col("least_sequences") * 1.05 + F.col("n_shards")
+    return report.select("container_id", "n_tokens", "least_sequences", (F.col("n_sequences") <= most).alias("well_filled"))
 
 
 def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -164,8 +165,8 @@ SELECT g.row_id, count(*) AS n_copies, count(DISTINCT k.text) AS n_variants FROM
     "p8_found": _SIZES + "SELECT container_id, doc_id FROM s JOIN containers ON n > capacity",
     "p8_assignment": _SIZES + """SELECT CAST(container_id AS BIGINT) AS container_id, doc_id, CAST(ceil(n / capacity) AS BIGINT) AS n_parts, CAST(n AS BIGINT) AS n_tokens,
   true AS whole, true AS fits FROM s, containers WHERE n > 0""",
-    "p8_fill": _SIZES + """SELECT CAST(container_id AS BIGINT) AS container_id, CAST(sum(n) AS BIGINT) AS n_tokens, true AS well_filled
-FROM s, containers WHERE n > 0 GROUP BY container_id""",
+    "p8_fill": _SIZES + """SELECT CAST(container_id AS BIGINT) AS container_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(ceil(sum(n) / max(capacity)) AS BIGINT) AS least_sequences,
+  true AS well_filled FROM s, containers WHERE n > 0 GROUP BY container_id""",
     "p9_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 j AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),

@@ -208,31 +208,31 @@ class TermCounts:
     def _merge(self, delta: list[tuple[int, DataFrame]], number: int, records: list[int], gone: list[int], kinds: str | None) -> None:
         """Merge signed changes into the partitions they fall in and publish the version."""
         v = self.version
-        n_docs, per_term = v.n_docs, None
+        n_docs, per_term, touched, n = v.n_docs, None, set(), 0
+        changed = F.col("term").isNotNull() & ((F.col("cf") != 0) | (F.col("df") != 0))
         for sign, rows in delta:
             rows = materialize(rows, "delta")
-            n_docs += sign * rows.where(F.col("docid").isNotNull() & (F.col("n") > 0)).count()
-            terms = rows.where(F.col("term").isNotNull()).select("term", "cf", "df")
-            per_term = terms if per_term is None else per_term.unionByName(terms).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+            # the set holds at most `parts` numbers
+            told = rows.agg(
+                F.count_if(F.col("docid").isNotNull() & (F.col("n") > 0)).alias("docs"), F.count_if(changed).alias("terms"),
+                F.collect_set(F.when(changed, part_of(F.col("term"), v.parts))).alias("parts"),
+            ).first()
+            n_docs, n, touched = n_docs + sign * told["docs"], n + told["terms"], touched | set(told["parts"])
+            terms = rows.where(changed).select("term", "cf", "df")
+            per_term = terms if per_term is None else per_term.unionByName(terms)
         parts, counts, n_terms = v.parts, dict(v.counts), v.n_terms
-        if per_term is not None:
-            signed = per_term.where("cf <> 0 OR df <> 0")
-            signed = signed if len(delta) == 1 else materialize(signed, "signed-delta")
-            n = signed.count()
+        if touched:
             while v.n_terms + n > 2 * TERMS_A_PART * parts:
                 parts *= 2
-            part = part_of(F.col("term"), parts)
-            touched = [r[0] for r in signed.select(part).distinct().collect()] if parts == v.parts else list(range(parts))  # at most `parts` numbers
-            before = self.table(touched if parts == v.parts else None)
-            merged = before.unionByName(signed).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).where("df > 0").withColumn("part", part)
+            touched = touched if parts == v.parts else set(range(parts))
+            before = self.table(sorted(touched) if parts == v.parts else None)
+            both = before.unionByName(per_term).withColumn("part", part_of(F.col("term"), parts)).repartition(len(touched), "part")
+            merged = both.groupBy("part", "term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).where("df > 0")
             folder = f"counts/v={number}"
-            if touched:
-                merged.repartition(len(touched), "part").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{folder}")
-                written = self._folders(folder)
-                counts = {k: p for k, p in counts.items() if parts == v.parts and int(k) not in touched}
-                counts.update({name.split("=")[1]: f"{folder}/{name}" for name in written})
-                fresh = TermCounts(self.spark, self.path, Version(parts=parts, counts=counts))
-                n_terms = fresh.table().count()  # from the files' footers
+            merged.select("term", "cf", "df", "part").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{folder}")
+            counts = {k: p for k, p in counts.items() if parts == v.parts and int(k) not in touched}
+            counts.update({name.split("=")[1]: f"{folder}/{name}" for name in self._folders(folder)})
+            n_terms = TermCounts(self.spark, self.path, Version(parts=parts, counts=counts)).table().count()  # from the files' footers
         self.version = self._published(Version(number, parts, counts, records, gone, n_docs, n_terms, kinds))
 
     # ---- files
