@@ -29,7 +29,7 @@ RECORD = ("term", "docid", "chunk_no", "tf")
 COUNTS = "term string, cf bigint, df bigint"
 TERMS_A_PART = 250_000
 # Into how many id ranges the documents of a delivery are gathered, to read no more of the records than these.
-SPANS = 64
+SPANS = 24
 PAGE_ROWS = 2000
 
 
