@@ -13,7 +13,7 @@ from termforge.functions.codec import block_docids, raw, unraw, unvarbyte, varby
 from termforge.functions.text import HAVE_REPAIR, index_tokens, repair_text, unescape
 from termforge.operators.consolidate import RECORD, hot_records
 from termforge.operators.ranges import numbered, numbered_ranges, range_starts
-from termforge.operators.skew import hot_keys, salted_lookup
+from termforge.operators.skew import hot_keys, least_share, salted_lookup
 from termforge.session import materialize
 
 BLOCK = 128
@@ -264,10 +264,12 @@ def write_postings(p: DataFrame, path: str, lengths: DataFrame | None = None) ->
         lex = beside.submit(_write, lexicon(base), f"{path}/lexicon")
         documents = materialize(base.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("n_terms")), "documents")
         dl = documents.select("doc_id", "dl")
+        most, total = documents.agg(F.max("n_terms"), F.sum("n_terms")).first()
+        long = hot_keys(documents, "doc_id", "n_terms") if total and most * least_share(spark) > total else None
         if lengths is not None:
             _write(lengths, f"{path}/doc_lengths")
             dl = spark.read.parquet(f"{path}/doc_lengths")
-        measured = salted_lookup(base, dl, "doc_id", hot_keys(documents, "doc_id", "n_terms"), ["term"], "left")
+        measured = salted_lookup(base, dl, "doc_id", long, ["term"], "left")
         measured = materialize(measured.select("term", "doc_id", "tf", "dl"), "measured-postings")  # range bounds are sampled from it
         ranged = measured.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         _write(ranged.withColumn("_range", F.spark_partition_id()), f"{path}/postings")
@@ -279,7 +281,7 @@ def write_postings(p: DataFrame, path: str, lengths: DataFrame | None = None) ->
         if lengths is None:
             _write(dl, f"{path}/doc_lengths")
         lex.result()
-    _write(spark.createDataFrame([(build, s["n_docs"], float(s["avgdl"] or 0.0))], "build_id string, n_docs bigint, avgdl double"), f"{path}/stats")
+    _write(spark.range(1).select(F.lit(build).alias("build_id"), F.lit(s["n_docs"]).cast("bigint").alias("n_docs"), F.lit(float(s["avgdl"] or 0.0)).alias("avgdl")), f"{path}/stats")
     return open_index(spark, path)
 
 

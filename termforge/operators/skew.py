@@ -109,12 +109,15 @@ def hot_keys(summary: DataFrame, key: str, weight: str = "n_rows", one_in: int |
     return heavy_keys(keyed, key, one_in, weight).select(key, ways.alias("_ways")).where(F.col("_ways") > 1)
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: Sequence[str], how: str = "inner") -> DataFrame:
+def salted_lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, spread: Sequence[str], how: str = "inner") -> DataFrame:
     """big joined (inner or left) with small on key, hot keys of big spread over several tasks.
 
     `hot` is (key, _ways) of hot_keys. Rows of big with a hot key go to one of its parts by a hash of the `spread`
-    columns, and its rows of small are repeated once per part. small should have few rows per hot key.
+    columns, and its rows of small are repeated once per part. small should have few rows per hot key. Without hot keys
+    (None) it is a plain join.
     """
+    if hot is None:
+        return big.join(small, key, how)
     ways = F.broadcast(hot.select(F.col(key).alias("_hot"), "_ways"))  # at most one_in rows, see hot_keys
     left = big.join(ways, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*spread), F.coalesce("_ways", F.lit(1))).cast("int"))
     right = small.join(ways, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))

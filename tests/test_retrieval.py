@@ -50,9 +50,11 @@ def test_batch_equals_single(spark, index):
     assert got == {i: w[:3] for i, (_, _, w) in enumerate(GOLDEN) if w}
 
 
-def test_batch_with_hot_terms_and_long_lists(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, rt.BROADCAST_ROWS])
+def test_batch_with_hot_terms_and_long_lists(spark, monkeypatch, broadcast):
     """AND from the rarest term, frequent terms split by document, one query asking for more than the others."""
     monkeypatch.setattr(rt, "MANY", 4)
+    monkeypatch.setattr(rt, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     texts = [" ".join(["hot"] + rng.choices(["warm", "mild", "cool", "cold"], weights=(20, 8, 3, 1), k=6)) for _ in range(300)]
     asked = ["hot", "hot cold", "cold hot warm hot", "mild cool cold", "cold zzz", "warm mild", "cool cold hot"]
@@ -87,6 +89,16 @@ def test_written_index_is_the_same(spark, index):
     assert top(rt.ranked(back, "the river", "OR", topk=2)) == bm25("the river", "OR")[:2]
 
 
+def test_long_document_is_split_by_its_terms(spark):
+    rows = [(f"t{i}", 1, 0, 1) for i in range(900)] + [(f"t{i % 50}", 2 + i % 40, 0, 2) for i in range(400)]
+    run = spark.createDataFrame(rows, "term string, docid bigint, chunk_no int, tf int")
+    i = ix.build_run(run, scratch_path(spark, "index"))
+    assert verify.same_postings(i.postings, ix.of_run(run).postings)
+    assert {r["doc_id"]: r["dl"] for r in i.with_lengths().select("doc_id", "dl").distinct().collect()} == {r["doc_id"]: r["dl"] for r in i.doc_lengths.collect()}
+    assert sorted(map(tuple, i.blocks().collect())) == sorted(map(tuple, ix.block_directory(i.postings).collect()))
+    assert "PushedFilters: [IsNotNull(term)" in i.blocks().where("term = 't1'")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_equals_direct(toy, index):
     parts = [ix.postings(ix.tokenized(toy.where(toy.doc_id % 3 == k))) for k in range(3)]
     assert verify.same_postings(ix.merge_postings(*parts), index.postings)
