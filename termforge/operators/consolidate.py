@@ -21,6 +21,8 @@ from termforge.session import materialize
 RECORD = ("term", "docid", "chunk_no", "tf")
 # A record is taken for hot if it comes up in the sample half as often as one holding a task's share of the rows would.
 SAMPLED, SUSPECT = 100, 50
+# Rows that a task takes anyway: where its share is less, one record can't be too much for it.
+LIGHT = 100_000
 
 
 def sampled(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -34,7 +36,7 @@ def hot_records(live: DataFrame, record: Sequence[str], n_rows: int) -> list[int
 
     At most SAMPLED / SUSPECT hashes per task are collected. They only decide which of two exact ways a record takes.
     """
-    if n_rows <= SAMPLED * least_share(live.sparkSession):
+    if n_rows <= max(SAMPLED, LIGHT) * least_share(live.sparkSession):
         return []
     return suspects(sampled(live, n_rows).select(F.xxhash64(*record).alias("h")))
 
@@ -116,7 +118,7 @@ def consolidate(
     sample = materialize(sampled(live, n_rows).select(F.xxhash64(*record).alias("h"), record_bytes(record, run).alias("b")), "sample")
     a_row = sample.agg(F.avg("b")).first()[0] or 1.0
     ranges = max(1, math.ceil(n_rows * a_row / target_bytes))
-    hot = suspects(sample) if n_rows > SAMPLED * least_share(spark) and not keep_duplicates else []
+    hot = suspects(sample) if n_rows > max(SAMPLED, LIGHT) * least_share(spark) and not keep_duplicates else []
     out = merge_runs(run, record, source, ranges, hot).withColumn("kept", F.lit(True) if keep_duplicates else ~F.col("repeat"))
     per_file = max(1, int(1.25 * target_bytes / a_row))
     out.sortWithinPartitions("kept", *record).write.option("maxRecordsPerFile", per_file).partitionBy("kept").mode("overwrite").parquet(path)

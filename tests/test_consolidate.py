@@ -38,6 +38,7 @@ def test_null_source_is_never_first_if_another_has_the_record(spark):
 
 def test_hot_record_is_combined_before_the_merge(spark, monkeypatch):
     """A record with a third of all rows, in every file: exact, and only its first row is merged."""
+    monkeypatch.setattr(C, "LIGHT", 1)
     monkeypatch.setattr(C, "SAMPLED", 2)
     monkeypatch.setattr(C, "SUSPECT", 12)
     monkeypatch.setattr(C, "least_share", lambda spark: 40)
