@@ -223,6 +223,7 @@ def test_known_records_are_looked_up_by_id_ranges(spark):
 def test_hot_record_is_combined_first(spark, monkeypatch):
     from termforge.operators import consolidate
 
+    monkeypatch.setattr(consolidate, "LIGHT", 1)
     monkeypatch.setattr(consolidate, "SAMPLED", 2)
     monkeypatch.setattr(consolidate, "SUSPECT", 12)
     monkeypatch.setattr(consolidate, "least_share", lambda spark: 40)
