@@ -46,7 +46,7 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """(url, allowed) of a table (url), by robots files (host, robots); the host is the URL's network location.
 
     Null URLs are not allowed. A host with several files counts with the greatest text, so rows
-    are never multiplied.
+    are never multiplied. The join may be split where a host has most URLs, as files are one row a host (adaptive skew joins do).
     """
     from termforge.functions.urls import _AUTHORITY
 

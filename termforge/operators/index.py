@@ -139,14 +139,14 @@ def decoded_blocks(encoded: DataFrame) -> DataFrame:
     return pairs.select("term", F.col("_x")["_d"].alias("doc_id"), F.col("_x")["_f"].alias("tf"))
 
 
-def term_offsets(p: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """(term, byte_offset): where a term's list would start in one file in term order, raw codec.
+def term_offsets(lex: DataFrame) -> DataFrame:
+    """(term, byte_offset) of a lexicon (term, df): where a term's list would start in one file in term order, raw codec.
 
     Two-level running sum: range-partitioned terms are summed inside their range, ranges by the
     few rows of their totals, so no task sees all terms.
     """
     laid = materialize(
-        lexicon(p).select("term", (F.col("df") * 8).alias("bytes")).repartitionByRange("term").withColumn("range_no", F.spark_partition_id()), "term-ranges"
+        lex.select("term", (F.col("df") * 8).alias("bytes")).repartitionByRange("term").withColumn("range_no", F.spark_partition_id()), "term-ranges"
     )
     totals = laid.groupBy("range_no").agg(F.sum("bytes").alias("range_bytes"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.functions import codec
 from termforge.functions.scoring import bm25_idf
 from termforge.functions.snippet import snippet
-from termforge.functions.text import index_tokens
 from termforge.operators import index as ix
 from termforge.operators import reference_tables as ref
 from termforge.operators import retrieval as rt
 from termforge.operators import verify
 from termforge.service import response_rows
-from termforge.session import files_state, materialize, scratch_path, table
+from termforge.session import files_state, scratch_path, table
 from termforge.sources import corpus
 
 
@@ -152,7 +150,7 @@ def block_postings(spark, d):
 
 
 def term_offsets(spark, d):
-    return ix.term_offsets(_index(spark, d).postings)
+    return ix.term_offsets(_index(spark, d).lexicon)
 
 
 def seek_block_ge(spark, d):
