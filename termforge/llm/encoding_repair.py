@@ -38,9 +38,9 @@ SMOOTH = (4.0, 4.0)
 # Rows of the sketch for characters, pairs and trigrams; a gram counts as its least row.
 ROWS = ((0,), (1, 2), (3, 4, 5))
 TABLES = 6
-# Of the clean records with other than ASCII characters one in HELD_OUT validates the margins; at most FALSE_ACCEPTS
-# of them may be accepted, which takes at least ENOUGH of them to tell. Where there are fewer, as many further folds
-# are judged by models without them. The least margin is the same at any size.
+# Clean records with other than ASCII characters are in HELD_OUT folds. One is held out of the model; each other one is judged by
+# a model without it. All of them validate the margins: at most FALSE_ACCEPTS may be accepted, which takes about ENOUGH to
+# tell. This and the least margin are the same at any size.
 HELD_OUT = 10
 FALSE_ACCEPTS = 0.002
 ENOUGH = 2000
@@ -546,35 +546,86 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(some, columns=["fold", "text"])
 
 
-def _without_own(first: Broadcast, shared: Broadcast, least: float):
-    """Gains of a fold's distinct texts (fold, text, n) by the model less what this fold taught it."""
+def _fold_counting(first: Broadcast):
+    """Gram counts of what texts (fold, text, n) taught, as (fold, k, bucket, n); texts of a fold come next to each other, so one
+    fold is counted at a time."""
 
-    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, teacher = shared.value.counts.copy(), first.value.judge()
-        for text, n in zip(pdf["text"].tolist(), pdf["n"].tolist(), strict=True):
-            shaped = _taught(text, teacher)
-            if shaped is not None:
-                for k, b in enumerate(gram_buckets(shaped)):
-                    np.subtract.at(counts[k], b, np.float32(n))
-        judge = Judge(Model(np.maximum(counts, 0)), least)
-        gains = [judge.record(t)[:2] for t in pdf["text"].tolist()]
-        return pd.DataFrame({"utf8": [g[0] for g in gains], "page": [g[1] for g in gains], "n": pdf["n"]})
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        teacher, at, counts = first.value.judge(), None, np.zeros((TABLES, SIZE))
+
+        def told() -> Iterator[pd.DataFrame]:
+            for k in range(TABLES):
+                some = np.flatnonzero(counts[k])
+                yield pd.DataFrame({"fold": np.full(len(some), at, np.int32), "k": np.full(len(some), k, np.int32), "bucket": some, "n": counts[k, some].astype(np.int64)})
+
+        for batch in batches:
+            for pdf in slices(batch, chars=1_000_000):
+                for fold, rows in pdf.groupby("fold"):
+                    if fold != at and at is not None:
+                        yield from told()
+                        counts[:] = 0
+                    at = fold
+                    taught = [(x, n) for t, n in zip(rows["text"].tolist(), rows["n"].tolist(), strict=True) if (x := _taught(t, teacher)) is not None]
+                    if taught:
+                        sizes = [len(x) for x, _ in taught]
+                        text_of, n_of = np.repeat(np.arange(len(taught)), sizes), np.repeat([n for _, n in taught], sizes)
+                        inside = text_of[:-2] == text_of[2:]
+                        for k, b in enumerate(gram_buckets("".join(x for x, _ in taught))):
+                            counts[k] += np.bincount(b[inside], n_of[2:][inside], SIZE)
+        if at is not None:
+            yield from told()
+
+    return count
+
+
+def _without_own(shared: Broadcast, own: dict[int, Broadcast], least: float):
+    """Gains of texts (fold, text, n) by the model less what their fold taught it, one fold's model at a time."""
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, judge = None, None
+        for batch in batches:
+            for pdf in slices(batch):
+                for fold, rows in pdf.groupby("fold"):
+                    if fold != at:
+                        counts = shared.value.counts.copy()
+                        where, n = own[int(fold)].value
+                        counts.reshape(-1)[where] -= n
+                        at, judge = fold, Judge(Model(np.maximum(counts, 0)), least)
+                    gains = [judge.record(t)[:2] for t in rows["text"].tolist()]
+                    yield pd.DataFrame({"utf8": [g[0] for g in gains], "page": [g[1] for g in gains], "n": rows["n"].to_numpy()})
 
     return judged
 
 
+def _own_counts(counted: DataFrame, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the tables, counts) of what a fold taught."""
+    rows = counted.where(F.col("fold") == fold).select((F.col("k") * SIZE + F.col("bucket")).cast("int").alias("at"), F.col("n").cast("float")).toPandas()
+    return rows["at"].to_numpy(), rows["n"].to_numpy()
+
+
+def judged_folds(texts: DataFrame, folds: list[int], first: Broadcast, shared: Broadcast, least: float = LEAST_MARGIN) -> DataFrame:
+    """(utf8, page, n) of the distinct clean texts (text) of these folds, each judged by a model without its fold.
+
+    Folds are cut into ranges, so a task has a share of the texts, however many a fold has. What a fold taught reaches the
+    driver fold by fold.
+    """
+    spark = texts.sparkSession
+    clean = texts.mapInPandas(_folded, "fold int, text string").where(F.col("fold").isin(folds))
+    distinct = clean.groupBy("fold", "text").agg(F.count(F.lit(1)).alias("n"))
+    ranges = materialize(distinct.repartitionByRange("fold", F.xxhash64("text")).sortWithinPartitions("fold"), "folds")
+    taught = ranges.mapInPandas(_fold_counting(first), "fold int, k int, bucket bigint, n bigint")
+    counted = materialize(taught.groupBy("fold", "k", "bucket").agg(F.sum("n").alias("n")), "fold-counts", ("fold",))
+    own = {fold: spark.sparkContext.broadcast(_own_counts(counted, fold)) for fold in folds}
+    return ranges.mapInPandas(_without_own(shared, own, least), "utf8 double, page double, n bigint")
+
+
 def cross_fitted(texts: DataFrame, n_held: int, first: Broadcast, shared: Broadcast, enough: int = ENOUGH, least: float = LEAST_MARGIN) -> DataFrame | None:
-    """(utf8, page, n) of the clean texts (text) of further folds, each judged by a model without its fold; as many
-    folds as make about `enough` records with the n_held held out, or all. None if these are enough.
+    """judged_folds of as many folds as make about `enough` records with n_held others, or all; None if these are enough.
 
-    A fold is judged in one task: it has fewer distinct texts than `enough`, or few.
+    For looking at part of the folds only: the margins of damaged_rows come from all folds at any size (_clean_gains).
     """
     folds = min(HELD_OUT, -(-enough // n_held) if n_held else HELD_OUT) - 1
-    if folds < 1:
-        return None
-    clean = texts.mapInPandas(_folded, "fold int, text string").where(F.col("fold").between(1, folds))
-    distinct = clean.groupBy("fold", "text").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.groupBy("fold").applyInPandas(_without_own(first, shared, least), "utf8 double, page double, n bigint")
+    return judged_folds(texts, list(range(1, folds + 1)), first, shared, least) if folds >= 1 else None
 
 
 def validated_margins(gains: DataFrame, accepts: float = FALSE_ACCEPTS) -> tuple[float, float]:
@@ -622,11 +673,10 @@ def _trained(texts: DataFrame) -> tuple[Broadcast, Model]:
 
 
 def _clean_gains(texts: DataFrame, scored: DataFrame, first: Broadcast, shared: Broadcast) -> DataFrame:
-    """(utf8, page, n) of the clean records held out of the model and, where they are few, of further folds."""
+    """(utf8, page, n) of all clean records, however many: those held out of the model judged by it, others by one without
+    their fold."""
     held = scored.where(F.col("fold") == 0).select("utf8", "page", F.lit(1).cast("bigint").alias("n"))
-    n_held = held.where(F.greatest("utf8", "page") <= BEYOND_DOUBT).count()
-    more = cross_fitted(texts.where(suspicious(F.col("text"))), n_held, first, shared)
-    return held if more is None else materialize(held.unionByName(more), "clean-gains")
+    return held.unionByName(judged_folds(texts.where(suspicious(F.col("text"))), list(range(1, HELD_OUT)), first, shared))
 
 
 def _found(rows: DataFrame, row_id: str, text: str, margins: tuple[float, float] | None) -> tuple[DataFrame, Broadcast, tuple[float, float]]:
