@@ -1,13 +1,13 @@
 """Repetition inside a single document, with risk-controlled cutoffs.
 
 The share of repeated words is measured exactly for every document. Which share makes a document
-be rejected is chosen per stratum (length class) from labelled holdout documents: cutoffs are
+be rejected is chosen per stratum (length class) from labelled documents: cutoffs are
 tried from strict to lenient, and a cutoff is certified while the exact binomial upper bound
 of its false rejections stays below the allowed risk, the error being shared among strata
 and cutoffs (Bonferroni), so all certified cutoffs hold together.
 
-Labels tell which holdout documents are repetitive by another measure than the share. Where none are given they come from
-how well a text's own word order compresses (see order_saving), which knows nothing of runs of words.
+Labels tell which documents are repetitive by another measure than the share. Where none are given every document is labelled
+by how well its own word order compresses (see order_saving), which knows nothing of runs of words.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ CUTOFFS = (0.60, 0.50, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10)
 SAVING = SHARE / 2
 RISK = 0.05
 ERROR = 0.05
-HOLDOUT = 20_000
 STRATA = (100, 1000)
 _LZMA = [{"id": lzma.FILTER_LZMA2, "preset": 1, "dict_size": 1 << 20, "lc": 0, "lp": 2, "pb": 2}]
 
@@ -86,21 +85,22 @@ def order_saving(text: str | None) -> float:
     return 1 - own / other
 
 
-def _measure(run: int):
+def _measure(run: int, label: bool):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for pdf in slices(batch):
-                codes, starts = coded(pdf["text"].tolist())
-                saving = [order_saving(t) if p else None for t, p in zip(pdf["text"], pdf["picked"], strict=True)]
+                texts = pdf["text"].tolist()
+                codes, starts = coded(texts)
+                saving = [order_saving(t) if label else None for t in texts]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": np.diff(starts), "n_repeated": repeated_words(codes, starts, run), "saving": saving}).astype({"saving": "float64"})
 
     return measure
 
 
-def _measured(docs: DataFrame, doc_id: str, text: str, run: int, picked: Column) -> DataFrame:
-    """repetition() with saving, the order_saving of the rows that are picked (a boolean column) and null for others."""
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), picked.alias("picked"))  # pandas has no integers with nulls
-    out = rows.mapInPandas(_measure(run), "doc_id string, n_words bigint, n_repeated bigint, saving double")
+def _measured(docs: DataFrame, doc_id: str, text: str, run: int, label: bool) -> DataFrame:
+    """repetition() with saving, the order_saving of every row with `label`, else null."""
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))  # pandas has no integers with nulls
+    out = rows.mapInPandas(_measure(run, label), "doc_id string, n_words bigint, n_repeated bigint, saving double")
     out = out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[doc_id])).withColumn("saving", F.when(~F.isnan("saving"), F.col("saving")))
     return out.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0)))
 
@@ -112,21 +112,24 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run:
     earlier word of the text. A null, empty or short text has share 0. Whole texts are measured;
     rows are independent, so nothing is shuffled.
     """
-    return _measured(docs, doc_id, text, run, F.lit(False)).drop("saving")
+    return _measured(docs, doc_id, text, run, False).drop("saving")
 
 
 def upper_bound(errors: int, trials: int, error: float) -> float:
-    """Exact (Clopper-Pearson) upper confidence bound of a proportion at confidence 1 - error."""
+    """Exact (Clopper-Pearson) upper confidence bound of a proportion at confidence 1 - error.
+
+    Above errors / trials the terms of the binomial tail fall from `errors` down, after d of them by exp(-d (d - 1) / 2 errors)
+    at least; those that can't change the sum aren't added, so millions of errors take thousands of terms.
+    """
     if errors >= trials:
         return 1.0
+    k = np.arange(errors, max(0, errors - 50 - 10 * math.isqrt(errors)), -1, dtype=float)
+    fall = np.concatenate([[0.0], np.cumsum(np.log(k / (trials - k + 1)))])
+    steps, ways = np.arange(len(fall)), math.lgamma(trials + 1) - math.lgamma(errors + 1) - math.lgamma(trials - errors + 1)
 
     def at_most(p: float) -> float:
-        logs = [
-            math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p)
-            for k in range(errors + 1)
-        ]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+        first = ways + errors * math.log(p) + (trials - errors) * math.log1p(-p)
+        return math.exp(first) * float(np.exp(fall + steps * (math.log1p(-p) - math.log(p))).sum())
 
     low, high = errors / trials, 1.0
     for _ in range(60):
@@ -145,7 +148,7 @@ def stratum(n_words: Column, edges: Sequence[int] = STRATA) -> Column:
 
 @dataclass(frozen=True)
 class Certificate:
-    """What the holdout says of a stratum: the lowest certified cutoff (null if none is), among how many good documents it
+    """What the labelled documents say of a stratum: the lowest certified cutoff (null if none is), among how many good documents it
     rejects how many, and the upper bound of the rate that follows; the strictest cutoff's where none is certified."""
 
     stratum: int
@@ -158,7 +161,7 @@ class Certificate:
 def certificates(
     labelled: DataFrame, cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR, strata: int = len(STRATA) + 1
 ) -> list[Certificate]:
-    """One certificate per stratum, from holdout rows (stratum, share, is_repetitive).
+    """One certificate per stratum, from labelled rows (stratum, share, is_repetitive).
 
     A false rejection is a document at or above the cutoff that isn't repetitive; its rate is
     taken among the documents that aren't. Cutoffs are tried in the given, falling order and
@@ -185,34 +188,31 @@ def certificates(
     return out
 
 
-def labelled_holdout(scored: DataFrame) -> DataFrame:
-    """(stratum, share, is_repetitive) of the rows picked for the holdout, those with a saving."""
-    return scored.where(F.col("saving").isNotNull()).select("stratum", "share", (F.col("saving") >= SAVING).alias("is_repetitive"))
+def self_labelled(scored: DataFrame) -> DataFrame:
+    """(stratum, share, is_repetitive) of all documents, labelled by their saving."""
+    return scored.select("stratum", "share", (F.col("saving") >= SAVING).alias("is_repetitive"))
 
 
-def measured_strata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", holdout: int = HOLDOUT) -> DataFrame:
-    """(doc_id, n_words, n_repeated, share, stratum, saving) of every document, written once; saving only of about
-    `holdout` documents (0 for none), picked by a hash of their id."""
-    n = docs.count() if holdout else 1
-    picked = F.pmod(F.xxhash64(doc_id), F.lit(max(1, n))) < holdout
-    return materialize(_measured(docs, doc_id, text, RUN, picked).withColumn("stratum", stratum(F.col("n_words"))), "repetition")
+def measured_strata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_repeated, share, stratum, saving) of every document, written once; saving is null without `label`."""
+    return materialize(_measured(docs, doc_id, text, RUN, label).withColumn("stratum", stratum(F.col("n_words"))), "repetition")
 
 
 def reject_repetitive(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels: DataFrame | None = None, holdout: int = HOLDOUT,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels: DataFrame | None = None,
     cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR, asked: float | None = None
 ) -> DataFrame:
     """(doc_id, n_words, n_repeated, share, stratum, cutoff, certified, rejected) of every document.
 
-    labels (doc_id, is_repetitive) are the labelled holdout; without them about `holdout` documents,
-    picked by a hash of their id, are labelled by their order_saving. A document is rejected if its share reaches the
+    labels (doc_id, is_repetitive) tell of the documents that cutoffs are chosen from; without them every document
+    is labelled by its order_saving. A document is rejected if its share reaches the
     certified cutoff of its stratum. A stratum without one rejects nothing: its cutoff is null.
 
     With `asked`, a share from which documents must be rejected whatever the risk, cutoffs above it (or null) fall to it
     and are marked as not certified. Documents with a null id are measured, too.
     """
-    scored = measured_strata(docs, doc_id, text, 0 if labels is not None else holdout)
-    labelled = labelled_holdout(scored) if labels is None else scored.join(labels.select("doc_id", "is_repetitive"), "doc_id")
+    scored = measured_strata(docs, doc_id, text, labels is None)
+    labelled = self_labelled(scored) if labels is None else scored.join(labels.select("doc_id", "is_repetitive"), "doc_id")
     chosen = certificates(labelled, cutoffs, risk, error)
     used = [c.cutoff if asked is None or (c.cutoff is not None and c.cutoff <= asked) else asked for c in chosen]
     cut = F.element_at(F.array(*[F.lit(u).cast("double") for u in used]), F.col("stratum") + 1)
@@ -221,8 +221,8 @@ def reject_repetitive(
     return out.withColumn("rejected", F.coalesce(F.col("share") >= F.col("cutoff"), F.lit(False)))
 
 
-def certificate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", holdout: int = HOLDOUT) -> DataFrame:
+def certificate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(stratum, n_good, cutoff, n_rejected, bound): the certificates reject_repetitive works with, one row a stratum."""
-    found = certificates(labelled_holdout(measured_strata(docs, doc_id, text, holdout)))
+    found = certificates(self_labelled(measured_strata(docs, doc_id, text)))
     schema = "stratum int, n_good bigint, cutoff double, n_rejected bigint, bound double"
     return docs.sparkSession.createDataFrame([astuple(c) for c in found], schema)

@@ -158,6 +158,18 @@ def test_labels_know_repeats_without_counting_them():
     assert R.order_saving(fresh) == R.order_saving(fresh.upper())
 
 
+def test_bound_of_many_errors():
+    want = 0.05 + 3.0902323 * math.sqrt(0.05 * 0.95 / 1e8)
+    assert math.isclose(R.upper_bound(5_000_000, 10**8, 0.001), want, abs_tol=1e-7)
+
+
+def test_every_document_is_labelled(spark):
+    """Also in a large collection all documents stand behind the cutoffs, not some 20,000."""
+    n = 21_000
+    report = R.certificate_report(spark.range(n).selectExpr("id AS doc_id", "concat('one two ', id) AS text")).collect()
+    assert [(r["stratum"], r["n_good"]) for r in report] == [(0, n), (1, 0), (2, 0)] and report[0]["cutoff"] == R.CUTOFFS[-1]
+
+
 def texts_with_repeats(n=600, most=0.5):
     rng = random.Random(3)
     for i in range(n):
