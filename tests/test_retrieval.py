@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from termforge.functions.snippet import snippet
 from termforge.operators import index as ix
 from termforge.operators import retrieval as rt
 from termforge.operators import verify
+from termforge.operators.matching import document_rows
 from termforge.session import scratch_path
 from pyspark.sql import functions as F
 
@@ -66,6 +68,76 @@ def test_batch_with_hot_terms_and_long_lists(spark, monkeypatch, broadcast):
     assert got == {k: bm25(q, m, texts=texts)[:n] for k, q, m, n in qs}
 
 
+def shuffled_rows(spark, run):
+    """Rows that the stages of an action write for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    jvm = spark.sparkContext._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    result = run()
+    return result, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_batch_shuffles_no_pairs_of_queries_and_documents(spark):
+    """300 queries of terms that most of 400 documents hold: 120,000 pairs, of which a list's best go to the shuffle."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["hot", "warm", "mild", "cool"], weights=(20, 10, 6, 2), k=rng.randint(2, 9))) for _ in range(400)]
+    i = ix.write_index(ix.of_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), scratch_path(spark, "index"))
+    asked = ["hot warm", "WARM hot", "mild hot", "hot", "cool  warm mild"]
+    qs = [(n, asked[n % 5], "or", 1 + n % 7) for n in range(300)]
+    found, n_rows = shuffled_rows(spark, lambda: rt.batch(i, spark.createDataFrame(qs, "qid int, query string, mode string, topk int"), topk=F.col("topk")).orderBy("qid", "rank").collect())
+    got = defaultdict(list)
+    for r in found:
+        got[r["qid"]].append((r["doc_id"], round(r["score"], 6)))
+    assert got == {n: bm25(q.lower(), "OR", texts=texts)[:k] for n, q, _, k in qs}
+    assert n_rows < 20_000
+
+
+def test_bounds_leave_the_best(spark):
+    """Few lists in a block, few pairs at once, and topk from one to more than there are matches."""
+    rng = random.Random(11)
+    vocabulary = [f"w{n}" for n in range(25)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[2**-(n / 3) for n in range(25)], k=rng.randint(1, 40))) for _ in range(500)]
+    qs = [(n, " ".join(rng.choices(vocabulary + ["zzz"], k=rng.randint(1, 4))), rng.choice(("AND", "OR")), rng.choice((1, 2, 5, 50, 600))) for n in range(60)]
+    i = ix.of_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = defaultdict(list)
+    for r in rt.batch(i, spark.createDataFrame(qs, "qid int, query string, mode string, topk int"), topk=F.col("topk")).orderBy("qid", "rank").collect():
+        got[r["qid"]].append((r["doc_id"], round(r["score"], 6)))
+    assert got == {n: w for n, q, m, k in qs if (w := bm25(q, m, texts=texts)[:k])}
+    assert rt.batch(i, spark.createDataFrame([(1, "zzz", "OR", 3)], "qid int, query string, mode string, topk int")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, ix.SLICE_ROWS])
+def test_ranking_index_is_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(ix, "SLICE_ROWS", rows)
+    rng = random.Random(3)
+    records = [(f"t{rng.randint(0, 30)}", rng.randint(0, 60), rng.randint(0, 2), rng.choice((1, 2, None))) for _ in range(2000)]
+    run = spark.createDataFrame(records + records[:300] + [(None, 1, 0, 1), ("a", None, 0, 1)], "term string, docid bigint, chunk_no int, tf int")
+    a, b = ix.ranking_index(run), ix.of_run(run)
+    assert verify.same_postings(a.postings, b.postings) and (a.n_docs, a.avgdl) == (b.n_docs, b.avgdl)
+    assert sorted(map(tuple, a.doc_lengths.collect())) == sorted(map(tuple, b.doc_lengths.collect()))
+    assert a.documents.count() == b.n_docs == a.documents.select("doc_id").distinct().count()
+    assert ix.ranking_index(run.limit(0)).n_docs == 0
+
+
+def test_documents_over_several_batches():
+    rng = random.Random(9)
+    for size in (1, 2, 7, 1000):
+        rows = sorted(((rng.choice("abcde"), rng.choice((-5, 1, 2, 3, 9)), rng.choice((0, 1, None)), rng.choice((1, 2, None))) for _ in range(rng.randint(1, 200))), key=lambda r: r[1])
+        whole = pa.table(dict(zip(("term", "docid", "chunk_no", "tf"), map(list, zip(*rows)), strict=True)), pa.schema([("term", pa.string()), ("docid", pa.int64()), ("chunk_no", pa.int32()), ("tf", pa.int32())]))
+        want = defaultdict(lambda: defaultdict(int))
+        for term, docid, _, tf in set(rows):
+            want[docid][term] += tf or 0
+        found = [r for b in document_rows(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in found] == sorted(want)
+        assert all(dict(zip(r["terms"], r["tfs"], strict=True)) == want[r["doc_id"]] and r["dl"] == sum(r["tfs"]) for r in found)
+
+
 def test_parameters(index):
     with pytest.raises(ValueError):
         rt.search_topk(index, "the", 0)
